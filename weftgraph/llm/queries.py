@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, simhash
+from weftgraph.llm import bpe, langid, simhash, toxicity
 from weftgraph.llm.common import table
 
 QUERIES = {
+    "op4_language": lambda spark, sf_dir: langid.op4(table(spark, sf_dir, "documents")),
     "op5_byte_bpe": lambda spark, sf_dir: bpe.op5(table(spark, sf_dir, "documents")),
+    "op7_toxicity": lambda spark, sf_dir: toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_simhash": lambda spark, sf_dir: simhash.op10(table(spark, sf_dir, "documents")),
 }
 ORACLES: dict[str, str] = {}
