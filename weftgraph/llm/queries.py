@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, langid, simhash, tokenfile, toxicity
+from weftgraph.llm import bpe, langid, simhash, suffixes, tokenfile, toxicity
 from weftgraph.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_byte_bpe": lambda spark, sf_dir: bpe.op5(table(spark, sf_dir, "documents")),
     "op7_toxicity": lambda spark, sf_dir: toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op8_token_file": lambda spark, sf_dir: tokenfile.op8(table(spark, sf_dir, "documents")),
+    "op9_suffix_dedup": lambda spark, sf_dir: suffixes.op9(table(spark, sf_dir, "documents")),
     "op10_simhash": lambda spark, sf_dir: simhash.op10(table(spark, sf_dir, "documents")),
 }
 ORACLES: dict[str, str] = {}
