@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, langid, simhash, suffixes, tokenfile, toxicity
+from weftgraph.llm import bpe, decontaminate, langid, secrets, simhash, suffixes, tokenfile, toxicity
 from weftgraph.llm.common import table
 
 QUERIES = {
+    "op2_secrets": lambda spark, sf_dir: secrets.op2(table(spark, sf_dir, "documents")),
     "op4_language": lambda spark, sf_dir: langid.op4(table(spark, sf_dir, "documents")),
     "op5_byte_bpe": lambda spark, sf_dir: bpe.op5(table(spark, sf_dir, "documents")),
+    "op6_decontaminate": lambda spark, sf_dir: decontaminate.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op7_toxicity": lambda spark, sf_dir: toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op8_token_file": lambda spark, sf_dir: tokenfile.op8(table(spark, sf_dir, "documents")),
     "op9_suffix_dedup": lambda spark, sf_dir: suffixes.op9(table(spark, sf_dir, "documents")),
