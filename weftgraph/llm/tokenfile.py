@@ -17,9 +17,9 @@ stay; an empty table gives no block.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,8 @@ STRIDE = 128
 BLOCK_IDS = 1 << 16
 LONGEST = 18
 PART_BYTES = 8 << 20
-MEMO = 200_000
+#: Pieces kept in a worker's memo, the longest piece that stays when it is emptied, and new pieces encoded at once.
+MEMO, SHORT, LINES = 400_000, 7, 512
 
 
 class PieceEncoder:
@@ -48,18 +49,40 @@ class PieceEncoder:
         self.library = Tokenizer.from_str(model)
         self.library.encode_special_tokens = True
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.find, self.memo = splitter(), {}
+        self.kind, self.find, self.memo = f"<u{self.width}", splitter(), {}
+        self.line = re.compile(r" ?[^\s]+").fullmatch
+        (self.line_break,) = self.library.encode("\n", add_special_tokens=False).ids
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        pieces = [self.find(t) if t else [] for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, kind = self.memo, f"<u{self.width}"
-        new = list(set(chain.from_iterable(pieces)).difference(memo))
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[piece] = np.array(found.ids, kind).tobytes()
-        last = np.array([end], kind).tobytes()
-        return [b"".join([*map(memo.__getitem__, p), last]) for p in pieces]
+        if len(self.memo) > MEMO:  # frequent pieces are short
+            self.memo = {k: v for k, v in self.memo.items() if len(k) <= SHORT}
+        get, found, gaps = self.memo.get, [], []
+        for t in texts:
+            pieces = self.find(t) if t else []
+            known = list(map(get, pieces))
+            gaps.append([(i, pieces[i]) for i, k in enumerate(known) if k is None])
+            found.append(known)
+        self._learn(list(dict.fromkeys(p for g in gaps for _, p in g)))
+        memo, last = self.memo, np.array([end], self.kind).tobytes()
+        for known, g in zip(found, gaps, strict=True):
+            for i, p in g:
+                known[i] = memo[p]
+            known.append(last)
+        return [b"".join(known) for known in found]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces. Those without inner white space go many to a text, one a line: a line break is always a
+        piece of its own, so its id separates their ids."""
+        lines = [p for p in pieces if self.line(p)]
+        for at in range(0, len(lines), LINES):
+            some = lines[at : at + LINES]
+            ids = np.array(self.library.encode("\n".join(some), add_special_tokens=False).ids, self.kind)
+            cuts = [-1, *np.flatnonzero(ids == self.line_break).tolist(), len(ids)]
+            raw, w = ids.tobytes(), self.width
+            self.memo.update(zip(some, [raw[(a + 1) * w : b * w] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        rest = [p for p in pieces if not self.line(p)]
+        for p, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.memo[p] = np.array(e.ids, self.kind).tobytes()
 
 
 _encoders: dict[int, PieceEncoder] = {}
