@@ -37,7 +37,9 @@ from weftgraph.llm.common import slices, total_bytes
 WIDTH = 50
 GRAM = 16
 #: Least bytes of a chunk, of what a hash bucket and what a suffix bucket stand for; bytes sampled for splitters.
-CHUNK, HASH_BUCKET, SUFFIX_BUCKET, SAMPLE = 1 << 20, 16 << 20, 8 << 20, 4 << 20
+CHUNK, HASH_BUCKET, SUFFIX_BUCKET, SAMPLE = 4 << 20, 16 << 20, 8 << 20, 4 << 20
+#: Least number of chunks.
+CHUNKS = 64
 #: Bytes that anchors are found in at once.
 PIECE = 2 << 20
 OUTSIDE = 0xFF  # a byte that UTF-8 never has
@@ -240,12 +242,21 @@ def repeats(contexts: np.ndarray, docs: np.ndarray, masks: np.ndarray, width: in
     return out
 
 
+def _squeezed(raw: bytes) -> bytes:
+    """Size, then zstd: what travels is sorted numbers and prose."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _expanded(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+
+
 def _packed(rows: np.ndarray, at: np.ndarray, masks: np.ndarray) -> bytes:
-    return rows.astype("<i8").tobytes() + at.astype("<i8").tobytes() + masks.astype("<u8").tobytes()
+    return _squeezed(rows.astype("<i8").tobytes() + at.astype("<i8").tobytes() + masks.astype("<u8").tobytes())
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, "<u8").reshape(3, -1)
+    return np.frombuffer(_expanded(blob), "<u8").reshape(3, -1)
 
 
 def sampled_splitters(own: DataFrame, total: int, buckets: int, width: int) -> np.ndarray:
@@ -268,7 +279,7 @@ def removal(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str
         raise ValueError(f"width must lie between {GRAM + 1} and {GRAM + 63}")
     total = total_bytes(docs, text)
     side = max(CHUNK, math.isqrt(512 * total))
-    chunks, hash_buckets = max(16, -(-total // side)), max(16, -(-total // max(HASH_BUCKET, side)))
+    chunks, hash_buckets = max(CHUNKS, -(-total // side)), max(16, -(-total // max(HASH_BUCKET, side)))
     parts = max(16, -(-total // max(SUFFIX_BUCKET, side)))
     all_rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")).withColumn("row", F.xxhash64("doc_id", "data"))
     splitters = sampled_splitters(all_rows.where("doc_id is not null"), total, parts, width)
@@ -332,14 +343,14 @@ def removal(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str
                 pick = left[order[x:y]]
                 out["bucket"].append(int(bucket[order[x]]))
                 out["found"].append(_packed(rows[pick], at[pick], rest[pick]))
-                out["sent"].append(ids[pick].astype("<i8").tobytes() + contexts[pick].tobytes())
+                out["sent"].append(_squeezed(ids[pick].astype("<i8").tobytes() + contexts[pick].tobytes()))
             out["chunk"] = [key[0].as_py()] * len(out["bucket"])
         return pa.table({"bucket": pa.array(out["bucket"], pa.int64()), "chunk": pa.array(out["chunk"], pa.int64()), "found": pa.array(out["found"], pa.binary()), "sent": pa.array(out["sent"], pa.binary())})
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "found", "sent")), strict=True))
         chunk, found = [c for c, _, s in rows if s is None], [f for _, f, s in rows if s is None]
-        asked = [(c, _unpacked(f), s) for c, f, s in rows if s is not None]
+        asked = [(c, _unpacked(f), _expanded(s)) for c, f, s in rows if s is not None]
         if asked:
             sizes = [f.shape[1] for _, f, _ in asked]
             ids = np.concatenate([np.frombuffer(s, "<i8", n) for (_, _, s), n in zip(asked, sizes, strict=True)])
