@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import ann, bpe, decontaminate, langid, secrets, simhash, suffixes, tokenfile, toxicity
+from weftgraph.llm import ann, bpe, decontaminate, htmltext, langid, secrets, simhash, suffixes, tokenfile, toxicity
 from weftgraph.llm.common import table
 
 QUERIES = {
     "op1_ann": lambda spark, sf_dir: ann.op1(table(spark, sf_dir, "embeddings")),
     "op2_secrets": lambda spark, sf_dir: secrets.op2(table(spark, sf_dir, "documents")),
+    "op3_html": lambda spark, sf_dir: htmltext.op3(table(spark, sf_dir, "pages")),
     "op4_language": lambda spark, sf_dir: langid.op4(table(spark, sf_dir, "documents")),
     "op5_byte_bpe": lambda spark, sf_dir: bpe.op5(table(spark, sf_dir, "documents")),
     "op6_decontaminate": lambda spark, sf_dir: decontaminate.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
