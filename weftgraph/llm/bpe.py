@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import SLICE_ROWS, slices
+from weftgraph.llm.pretokens import splitter
 
 #: Pieces kept in a worker's memo before it is emptied.
 MEMO = 200_000
@@ -37,7 +37,7 @@ class BytePairCoder:
         self.ids = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in lines}
         self.strings = {i: s for s, i in self.ids.items()}
         self.bytes = {str(i): s.encode("latin-1") for s, i in self.ids.items()}
-        self.find = regex.compile(pattern).findall
+        self.find = splitter(pattern)
         self.trie = ahocorasick.Automaton()
         for s, i in self.ids.items():
             self.trie.add_word(s, i)
