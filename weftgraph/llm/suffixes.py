@@ -41,7 +41,7 @@ CHUNK, HASH_BUCKET, SUFFIX_BUCKET, SAMPLE = 4 << 20, 16 << 20, 8 << 20, 4 << 20
 #: Least number of chunks.
 CHUNKS = 64
 #: Bytes that anchors are found in at once.
-PIECE = 2 << 20
+PIECE = 1 << 19
 OUTSIDE = 0xFF  # a byte that UTF-8 never has
 
 
