@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from weftgraph.plans import compare, scalar_queries, snapshot, source_queries
+from weftgraph.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "compare", "scalar_queries", "snapshot", "source_queries"]
