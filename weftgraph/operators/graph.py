@@ -37,7 +37,7 @@ def inferred_tops(modules: DataFrame, instances: DataFrame) -> DataFrame:
 
 def one_hop(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges that touch the selected nodes (id), and the ids of the nodes and of those edges' ends."""
-    touched = edges.join(nodes.select(F.col("id").alias("source_node")), "source_node", "left_semi").union(edges.join(nodes.select(F.col("id").alias("target_node")), "target_node", "left_semi").select(edges.columns)).distinct()
+    touched = reduce(DataFrame.unionByName, [edges.join(nodes.select(F.col("id").alias(end)), end, "left_semi") for end in ("source_node", "target_node")]).select(edges.columns).distinct()
     ids = nodes.select("id").union(touched.select("source_node")).union(touched.select("target_node")).distinct()
     return touched, ids
 

@@ -127,4 +127,5 @@ sources AS (SELECT concat(source, '/', doc_id, '.txt') AS path, sha256(text) AS
 
 
 def with_view(body: str) -> str:
-    return f"WITH RECURSIVE {CTES}\n{body}"
+    own = body.lstrip().removeprefix("WITH RECURSIVE ")
+    return f"WITH RECURSIVE {CTES}, {own}" if own != body.lstrip() else f"WITH RECURSIVE {CTES}\n{body}"
