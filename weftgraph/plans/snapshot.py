@@ -59,7 +59,7 @@ def module_instances(x):
     return x.ref_nodes().where("kind = 'module' and definition_name is not null").select("id", "definition_name")
 
 
-@query("""SELECT id FROM (SELECT id FROM ref_nodes WHERE label = 'PROMO' OR id LIKE 'part:%0' UNION SELECT e.source_node FROM ref_edges e WHERE e.target_node LIKE 'part:%0' UNION SELECT e.target_node FROM ref_edges e WHERE e.target_node LIKE 'part:%0')""")
+@query("""WITH RECURSIVE picked AS (SELECT id FROM ref_nodes WHERE label = 'PROMO' OR id LIKE 'part:%0') SELECT id FROM picked UNION SELECT e.source_node FROM ref_edges e WHERE e.target_node IN (SELECT id FROM picked) UNION SELECT target_node FROM ref_edges WHERE target_node IN (SELECT id FROM picked)""")
 def neighbors_one_hop(x):
     return graph.one_hop(x.ref_nodes().where((F.col("label") == "PROMO") | F.col("id").rlike("^part:.*0$")), x.ref_edges())[1]
 
@@ -90,8 +90,8 @@ def set_equality(x):
     return graph.set_difference(x.ref_nodes().select("id"), x.cand_nodes().select("id"))
 
 
-@query("""WITH RECURSIVE up AS (SELECT id, id AS at, parent_id FROM ref_nodes WHERE kind IN ('module', 'input') UNION ALL SELECT u.id, n.id, n.parent_id FROM up u JOIN ref_nodes n ON n.id = u.parent_id),
-roots AS (SELECT id, at AS root FROM up WHERE parent_id IS NULL) SELECT id, (SELECT min(id) FROM roots b WHERE b.root = a.root) AS component FROM roots a""")
+@query("""WITH RECURSIVE up AS (SELECT id, id AS above, parent_id FROM ref_nodes WHERE kind IN ('module', 'input') UNION ALL SELECT u.id, n.id, n.parent_id FROM up u JOIN ref_nodes n ON n.id = u.parent_id),
+roots AS (SELECT id, above AS root FROM up WHERE parent_id IS NULL) SELECT id, (SELECT min(id) FROM roots b WHERE b.root = a.root) AS component FROM roots a""")
 def components_minlabel(x):
     n = x.ref_nodes().where("kind in ('module', 'input')")
     return graph.components(n.where("parent_id is not null").select(F.col("parent_id").alias("source_node"), F.col("id").alias("target_node")), n)
