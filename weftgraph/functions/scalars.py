@@ -165,3 +165,18 @@ def is_true(value_json: Column) -> Column:
         F.when(text == "true", True).when(text.rlike(r"^-?[0-9]+$"), ~text.rlike(r"^-?0+$")).when(text.rlike(r'^"(?i:true)"$'), True).when(text.rlike(r'^"[01xz]+"$'), text.contains("1")).otherwise(False),
         F.lit(False),
     )
+
+
+def source_ranges(text: Column) -> Column:
+    """Ranges of a source attribute, ``file:line.col-line.col`` joined by ``|``; parts of any other form are left out."""
+    form = r"^(.+):([0-9]+)\.([0-9]+)(?:-([0-9]+)\.([0-9]+))?$"
+    part = lambda p, k: F.regexp_extract(p, form, k)
+    number = lambda p, k: F.nullif(part(p, k), F.lit("")).cast("long")
+    one = lambda p: F.struct(
+        part(p, 1).alias("file"), number(p, 2).alias("start_line"), number(p, 3).alias("start_col"), F.coalesce(number(p, 4), number(p, 2)).alias("end_line"), number(p, 5).alias("end_col")
+    )
+    return F.transform(F.filter(F.split(text, r"\|"), lambda p: F.rlike(p, F.lit(form))), one)
+
+
+def valid_identifier(name: Column) -> Column:
+    return F.rlike(name, F.lit(r"^[A-Za-z_][A-Za-z0-9_$]*$"))

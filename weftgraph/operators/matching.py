@@ -140,7 +140,7 @@ def greedy_assignment(pairs: DataFrame, least: float = LEAST_SCORE, most_rounds:
         best = materialise(left.withColumns({"a": first("ref_id"), "b": first("cand_id")}).where("a = 1 and b = 1").drop("a", "b"), "best")
         if best.isEmpty():
             break
-        taken = best if taken is None else taken.union(best)
+        taken = best if taken is None else taken.unionByName(best)
         left = materialise(left.join(best.select("ref_id"), "ref_id", "left_anti").join(best.select("cand_id"), "cand_id", "left_anti"), "pairs")
     return taken if taken is not None else left.limit(0)
 
@@ -181,7 +181,7 @@ def heuristic(ref: DataFrame, cand: DataFrame, most_rounds: int = 8, k: int = 32
         new = greedy_assignment(mutual_best(scored))
         if new.isEmpty():
             break
-        taken = materialise(new if taken is None else taken.union(new), "heuristic")
+        taken = materialise(new if taken is None else taken.unionByName(new), "heuristic")
     return taken if taken is not None else ref.select(F.col("id").alias("ref_id"), F.col("id").alias("cand_id"), F.lit(0.0).alias("score")).limit(0)
 
 

@@ -1 +1,114 @@
-"""Queries."""
+"""Queries of the scalar rules over columns made from the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weftgraph.functions import ids, scalars
+from weftgraph.operators import connect
+from weftgraph.plans.registry import query
+
+
+def _pick(values: tuple[str, ...], key: str):
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def _pick_sql(values: tuple[str, ...], key: str) -> str:
+    listed = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"([{listed}])[{key} % {len(values)} + 1]"
+
+
+_CELLS = ("$add", "$mux", "$dff", "$dlatch", "$mem_v2", "$_AND_", "$odd", "fifo")
+
+
+@query(f"""SELECT kind, glyph, count(*) AS n FROM (SELECT CASE t WHEN '$add' THEN 'operator' WHEN '$mux' THEN 'mux' WHEN '$dff' THEN 'register' WHEN '$dlatch' THEN 'latch' WHEN '$mem_v2' THEN 'memory' WHEN '$_AND_' THEN 'primitive' WHEN '$odd' THEN 'operator' ELSE 'module' END AS kind,
+ CASE t WHEN '$add' THEN '+' END AS glyph FROM (SELECT {_pick_sql(_CELLS, "p_partkey")} AS t FROM part)) GROUP BY ALL""", view=False)
+def classify_cells(x):
+    t = x.raw("part").select(_pick(_CELLS, "p_partkey").alias("t"))
+    return t.select(scalars.cell_kind(F.col("t")).alias("kind"), scalars.cell_glyph(F.col("t")).alias("glyph")).groupBy("kind", "glyph").agg(F.count("*").alias("n"))
+
+
+_PORTS = ("clk", "ARST", "EN", "S", "ADDR", "D", "other")
+
+
+@query(f"""SELECT p_partkey AS id, CASE p WHEN 'clk' THEN 'clock' WHEN 'ARST' THEN 'reset' WHEN 'EN' THEN 'enable' WHEN 'S' THEN 'select' WHEN 'ADDR' THEN 'address' WHEN 'D' THEN 'data' END AS role,
+ CASE p WHEN 'clk' THEN 'clock' WHEN 'ARST' THEN 'reset' WHEN 'EN' THEN 'control' WHEN 'S' THEN 'control' ELSE 'data' END AS edge_role, CASE p WHEN 'clk' THEN 'clock' WHEN 'ARST' THEN 'reset' END AS control FROM (SELECT p_partkey, {_pick_sql(_PORTS, "p_partkey")} AS p FROM part)""", view=False)
+def port_roles(x):
+    p = x.raw("part").select("p_partkey", _pick(_PORTS, "p_partkey").alias("p"))
+    role = scalars.port_role(F.col("p"))
+    return p.select(F.col("p_partkey").alias("id"), role.alias("role"), scalars.edge_role(role, F.lit(None).cast("string")).alias("edge_role"), scalars.control_role(role, F.col("p")).alias("control"))
+
+
+@query("SELECT p_partkey AS id, concat('3''b', CASE WHEN p_size % 8 = 0 THEN '0' ELSE concat((p_size // 4) % 2, (p_size // 2) % 2, p_size % 2) END) AS label FROM part", view=False)
+def constant_labels(x):
+    bit = lambda k: (F.floor(F.col("p_size") / k) % 2).cast("string")
+    return x.raw("part").select(F.col("p_partkey").alias("id"), scalars.constant_label(F.array(bit(1), bit(2), bit(4))).alias("label"))
+
+
+@query("SELECT id, CASE WHEN length(s) > 24 THEN substring(s, 1, 24) || '…' ELSE s END AS short FROM (SELECT c_custkey AS id, string_split_regex(concat('top::', c_mktsegment, '.', c_name, CASE WHEN c_custkey % 2 = 0 THEN '_first_stage' ELSE '' END), '::|\\.|/')[-1] AS s FROM customer)", view=False)
+def short_names(x):
+    name = F.concat(F.lit("top::"), "c_mktsegment", F.lit("."), "c_name", F.when(F.col("c_custkey") % 2 == 0, "_first_stage").otherwise(""))
+    return x.raw("customer").select(F.col("c_custkey").alias("id"), scalars.short_name(name).alias("short"))
+
+
+@query(r"""SELECT page_id AS id, p AS path, (length(p) > 0 AND NOT contains(p, '\') AND len(list_filter(string_split(p, '/'), lambda q: q IN ('', '.', '..'))) = 0) AS safe FROM
+ (SELECT page_id, regexp_replace(regexp_replace(replace(concat('.\', url), '\', '/'), '^\./', ''), '/+', '/', 'g') AS p FROM pages)""", view=False)
+def path_forms(x):
+    p = x.raw("pages").select(F.col("page_id").alias("id"), scalars.normal_path(F.concat(F.lit(".\\"), "url")).alias("path"))
+    return p.select("id", "path", scalars.safe_path(F.col("path")).alias("safe"))
+
+
+@query("""WITH p AS (SELECT n_nationkey AS id, n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey),
+g AS (SELECT id, 0 AS side, unnest(list_transform(range(1, length(s)), lambda i: substring(s, i, 2))) AS g FROM (SELECT id, regexp_replace(lower(a), '[^a-z0-9_$]', '', 'g') AS s FROM p)
+ UNION ALL SELECT id, 1, unnest(list_transform(range(1, length(s)), lambda i: substring(s, i, 2))) FROM (SELECT id, regexp_replace(lower(b), '[^a-z0-9_$]', '', 'g') AS s FROM p)),
+c AS (SELECT id, g, sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS x, sum(side) AS y FROM g GROUP BY ALL)
+SELECT p.id, round(CASE WHEN p.a = p.b THEN 1.0 ELSE 2.0 * sum(least(x, y)) / sum(x + y) END, 6)::DOUBLE AS similarity FROM p JOIN c USING (id) GROUP BY p.id, p.a, p.b""", view=False)
+def string_similarity(x):
+    p = x.raw("nation").join(x.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return p.select(F.col("n_nationkey").alias("id"), F.round(scalars.string_similarity(F.col("n_name"), F.col("r_name")), 6).alias("similarity"))
+
+
+_JSON = ("true", "0", "3", '"1"', '"000"', "1.5", "null", '"01x"')
+
+
+@query(f"SELECT event_id AS id, v IN ('true', '3', '\"1\"', '\"01x\"') AS truth FROM (SELECT event_id, {_pick_sql(_JSON, 'event_id')} AS v FROM events)", view=False)
+def truthiness(x):
+    return x.raw("events").select(F.col("event_id").alias("id"), scalars.is_true(_pick(_JSON, "event_id")).alias("truth"))
+
+
+@query("""SELECT event_id AS id, concat(event_type, '.sv') AS file, event_id % 90 + 1 AS start_line, user_id % 9 + 1 AS start_col, event_id % 90 + 3 AS end_line, 5::BIGINT AS end_col FROM events
+ UNION ALL SELECT event_id, 'c:/x.sv', 7, 2, 7, NULL FROM events WHERE event_id % 2 = 0""", view=False)
+def source_attributes(x):
+    own = F.concat("event_type", F.lit(".sv:"), F.col("event_id") % 90 + 1, F.lit("."), F.col("user_id") % 9 + 1, F.lit("-"), F.col("event_id") % 90 + 3, F.lit(".5"))
+    text = F.concat(own, F.when(F.col("event_id") % 2 == 0, "|c:/x.sv:7.2").otherwise("|nowhere"))
+    return x.raw("events").select(F.col("event_id").alias("id"), F.explode(scalars.source_ranges(text)).alias("r")).select("id", "r.*")
+
+
+@query("""SELECT id AS node_id, concat('node-', lpad(lower(to_hex(CAST(list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(string_split('node', ''), lambda c: ord(c)::HUGEINT), [255::HUGEINT], list_transform(string_split(id, ''), lambda c: ord(c)::HUGEINT)),
+ lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS UBIGINT))), 16, '0')) AS stable_id FROM ref_nodes WHERE kind IN ('module', 'input')""")
+def stable_ids(x):
+    return x.ref_nodes().where("kind in ('module', 'input')").select(F.col("id").alias("node_id"), ids.stable_id("node", F.col("id")).alias("stable_id"))
+
+
+@query("SELECT path, sha256 FROM sources")
+def source_digests(x):
+    return x.sources().select("path", "sha256")
+
+
+@query("""SELECT id, pos - r AS run, min(pos) AS first, string_agg(b, '' ORDER BY pos) AS digits FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS r FROM (
+ SELECT p_partkey AS id, i AS pos, CAST(i % 2 AS VARCHAR) AS b FROM part, range(8) t(i) WHERE (p_partkey >> i) % 2 = 1)) GROUP BY id, pos - r""", view=False)
+def constant_runs(x):
+    pos = F.explode(F.sequence(F.lit(0), F.lit(7)))
+    bits = x.raw("part").select(F.col("p_partkey").alias("cell"), F.lit("A").alias("port"), pos.alias("pos")).withColumn("constant", F.when(F.expr("shiftright(cell, pos)") % 2 == 1, (F.col("pos") % 2).cast("string")))
+    runs = connect.constant_runs(bits)
+    held = runs.select(F.col("cell").alias("id"), "first", F.array_join("digits", "").alias("digits"))
+    w = F.sum(F.length("digits")).over(connect.Window.partitionBy("id").orderBy("first").rowsBetween(connect.Window.unboundedPreceding, -1))
+    return held.select("id", (F.col("first") - F.coalesce(w, F.lit(0)) - 1).alias("run"), F.col("first").cast("long").alias("first"), "digits")
+
+
+@query("SELECT p_partkey AS id, CAST(i AS INTEGER) AS part, [p_size, p_size + i] AS bits FROM part, range(3) t(i) WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 0, [p_size, p_size, p_size, p_size + 1, p_size] FROM part WHERE p_partkey % 2 = 1", view=False)
+def packed_ports(x):
+    s = F.col("p_size")
+    even = F.array(s, s, s, s + 1, s, s + 2)
+    p = x.raw("part").select(F.col("p_partkey").alias("id"), F.lit(2).alias("by"), F.when(F.col("p_partkey") % 2 == 0, even).otherwise(F.slice(even, 1, 5)).alias("bits"))
+    return connect.split_port(p, "bits", "by").select("id", "part", "bits")
