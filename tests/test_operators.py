@@ -53,11 +53,19 @@ def test_shift_register_and_dead_cells(spark):
     assert [r.cell for r in connect.dead_cells(cells, spark.createDataFrame([(2,)], "wire long"), outputs).collect()] == ["dead"]
 
 
-def test_cross_probe_prefers_exact_overlap_and_skips_inactive_ranges(spark):
-    sel = spark.createDataFrame([("s", "f", 3, 5, 3, 8, "q"), ("off", "f", 20, 1, 20, 2, None)], "selection string, file string, line int, col int, end_line int, end_col int, token string")
-    ent = spark.createDataFrame([("wide", "node", "f", 1, 1, 9, 1, ["z"], 0), ("near", "node", "f", 3, 1, 3, 4, ["q"], 1), ("hit", "edge", "f", 3, 5, 3, 7, ["q"], 2)], "entity string, type string, file string, start_line int, start_col int, end_line int, end_col int, terms array<string>, ord int")
-    ranges = spark.createDataFrame([("f", 18, 1, 25, 1, False)], "file string, start_line int, start_col int, end_line int, end_col int, active boolean")
-    assert [(r.selection, r.entity) for r in provenance.cross_probe(sel, ent, ranges).collect()] == [("s", "hit")]
+def test_cross_probe_prefers_exact_overlap_and_follows_ranges(spark):
+    sel = spark.createDataFrame(
+        [("s", "f", 3, 5, 3, 8, "q"), ("off", "f", 20, 1, 20, 2, None), ("in", "f", 32, 5, 32, 6, None)], "selection string, file string, line int, col int, end_line int, end_col int, token string"
+    )
+    ent = spark.createDataFrame(
+        [
+            ("wide", "node", "operator", None, "f", 1, 1, 9, 1, ["z"], 0), ("near", "node", "input", None, "f", 3, 1, 3, 4, ["q"], 1), ("hit", "edge", None, None, "f", 3, 5, 3, 7, ["q"], 2),
+            ("line", "node", "operator", None, "f", 32, 8, 32, 9, ["a"], 3), ("far", "node", "operator", None, "f", 34, 1, 34, 2, ["a"], 4),
+        ], "entity string, type string, kind string, glyph string, file string, start_line int, start_col int, end_line int, end_col int, terms array<string>, ord int",
+    )
+    ranges = spark.createDataFrame([("f", 18, 1, 25, 1, False), ("f", 30, 1, 40, 1, True), ("f", 32, 1, 32, 7, True)], "file string, start_line int, start_col int, end_line int, end_col int, active boolean")
+    assert {(r.selection, r.entity) for r in provenance.cross_probe(sel, ent, ranges).collect()} == {("s", "hit"), ("in", "line")}
+    assert provenance.cross_probe(sel, ent.limit(0), ranges).count() == 0
 
 
 @settings(max_examples=200, deadline=None)

@@ -154,7 +154,7 @@ def range_size(start_line: Column, start_col: Column, end_line: Column, end_col:
 
 def is_active_low_reset(role: Column, port: Column, parameters_json: Column) -> Column:
     """A reset port whose <PORT>_POLARITY parameter is all zeros."""
-    value = F.get_json_object(parameters_json, F.concat(F.lit("$."), F.upper(port), F.lit("_POLARITY")))
+    value = F.try_element_at(F.from_json(parameters_json, "map<string,string>"), F.concat(F.upper(port), F.lit("_POLARITY")))
     return (role == "reset") & F.coalesce(value.rlike("^0+$"), F.lit(False))
 
 

@@ -24,6 +24,7 @@ LIMITS = {
     "modules": 50_000, "sources": 50_000, "nodes": 50_000, "edges": 100_000, "ports": 250_000, "origins": 500_000, "objects": 150_000,
     "endpoint_pairs": 1_000_000, "candidates_per_node": 32, "diff_edits": 100_000, "mapped_sources": 64, "hierarchy_pairs": 512, "hierarchy_depth": 64,
     "archive_bytes": 1 << 30, "archive_entry_bytes": 64 << 20, "archive_entries": 100_004, "archive_ratio": 200,
+    "constant_bits": 65_536, "decimal_bits": 4_096,
 }
 
 
