@@ -128,7 +128,7 @@ _WIRES = "WITH d AS (SELECT l_partkey % 97 AS m, l_partkey AS w, concat('order:'
 
 
 def _wires(x):
-    rows = x.raw("lineitem").where("l_partkey % 5 = 0").select((F.col("l_partkey") % 97).alias("module"), F.col("l_partkey").alias("wire"), F.concat(F.lit("order:"), "l_orderkey").alias("node"), F.col("l_linenumber").alias("port"), "l_returnflag")
+    rows = x.raw("lineitem").select((F.col("l_partkey") % 97).alias("module"), F.col("l_partkey").alias("wire"), F.concat(F.lit("order:"), "l_orderkey").alias("node"), F.col("l_linenumber").alias("port"), "l_returnflag")
     return rows.where("l_returnflag = 'A'").drop("l_returnflag"), rows.where("l_returnflag = 'R'").drop("l_returnflag")
 
 
