@@ -9,7 +9,8 @@ It is trained on the driver from a bounded sample of ``SAMPLE_PAGES`` pages, lab
 from ``MADE_PAGES`` generated pages in many layouts, whose labels are known.
 
 Defined cases: null is the empty page; scripts, styles, comments, forms' raw text and head titles are never blocks; tags
-that don't close, close twice or lack an end are read to the end; character references are decoded after the markup is
+that don't close, close twice or lack an end are read to the end; drawings are left out up to their end tag, if they have
+one; formulas, buttons, choices and the content of objects and canvases are text like any other; character references are decoded after the markup is
 read; white space inside a block becomes one space; no block is dropped or cut by length.
 """
 
@@ -32,12 +33,15 @@ SAMPLE_PAGES, MADE_PAGES = 300, 500
 BATCH_BLOCKS = 4096
 
 # Elements whose content is no markup or no text of the page, elements that don't break blocks, void elements.
-RAW = "script|style|textarea|title|noscript|template|iframe|svg|select|button|object|canvas|math"
+RAW = "script|style|textarea|title|noscript|template|iframe"
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+INLINE |= set("math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mspace mstyle mpadded mphantom merror semantics annotation annotation-xml".split())
+# Elements that may stand inside a paragraph without ending it.
+PHRASING = {"svg", "select", "option", "optgroup", "button", "object", "canvas"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?</svg\s*>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"\w+").findall
 PARTS = re.compile(r"[^\W_]+").findall
@@ -79,7 +83,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                 run.append(piece)
                 if in_link:
                     links += len(piece)
-            elif m[1]:
+            elif m[1] or piece[:4].lower() == "<svg":
                 run.append(" ")
             continue
         name = name.lower()
@@ -96,7 +100,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             if at:
                 del stack[at:]
             continue
-        if stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(name, ()):
+        if (stack[-1][0] == "p" and name not in PHRASING) or stack[-1][0] in CLOSES.get(name, ()):
             stack.pop()
         if name not in VOID and not m[4].endswith("/"):
             features = [f"<{name}"]
