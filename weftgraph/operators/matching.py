@@ -95,14 +95,14 @@ def structural_round(ref: DataFrame, cand: DataFrame, ref_edges: DataFrame, cand
     return unique_keys(left, right)
 
 
-def structural_fixpoint(ref: DataFrame, cand: DataFrame, ref_edges: DataFrame, cand_edges: DataFrame, matches: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def structural_fixpoint(ref: DataFrame, cand: DataFrame, ref_edges: DataFrame, cand_edges: DataFrame, matches: DataFrame) -> DataFrame:
     """Structural matches until a round finds none. Each round is a table in the shared folder.
 
     Rounds only look at what is unmatched and next to the matches of earlier rounds, but a chain still takes one round
     a node, as the semantics ask.
     """
     found = None
-    for _ in range(most_rounds):
+    while True:
         new = materialise(structural_round(ref, cand, ref_edges, cand_edges, matches), "structural")
         if new.isEmpty():
             break
@@ -127,14 +127,14 @@ def mutual_maximum(pairs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     return own.withColumns({"a": F.row_number().over(for_ref), "b": F.row_number().over(for_cand)}).where("a = 1 and b = 1").drop("a", "b")
 
 
-def greedy_assignment(pairs: DataFrame, least: float = LEAST_SCORE, most_rounds: int = 1000) -> DataFrame:
+def greedy_assignment(pairs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """One-to-one pairs in the order score descending, ref id, cand id.
 
     Each round takes the pairs that come first in that order for both of their ends, which the greedy order would also
     take, and removes their ends' other pairs; it ends when no pair is left.
     """
     left, taken = materialise(pairs.where(F.col("score") >= least).select("ref_id", "cand_id", "score"), "pairs"), None
-    for _ in range(most_rounds):
+    while True:
         order = [F.desc("score"), F.asc("ref_id"), F.asc("cand_id")]
         first = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(*order))  # noqa: B023, E731
         best = materialise(left.withColumns({"a": first("ref_id"), "b": first("cand_id")}).where("a = 1 and b = 1").drop("a", "b"), "best")
