@@ -10,9 +10,7 @@ from weftgraph.llm import tokenfile
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def expected(rows, library):
@@ -31,7 +29,8 @@ def test_round_trip_of_documents(spark, library):
 
 
 def test_null_empty_and_odd_texts(spark, library):
-    rows = [(5, None), (1, ""), (9, "  \n\n it's <|endoftext|> 日本 ñ ½ \x85x"), (7, "ab " * 70000), (None, "lost"), (-3, "b")]
+    ends = "<|endoftext|>"
+    rows = [(2, ends), (3, f"a {ends} b{ends}{ends}\n{ends} c"), (4, "<|endoftext |> <|endoftext|"), (5, None), (1, ""), (9, "  \n\n it's <|endoftext|> 日本 ñ ½ \x85x"), (7, "ab " * 70000), (None, "lost"), (-3, "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as part")
     assert sorted(map(tuple, tokenfile.op8(df).collect()), key=lambda r: r[1]) == expected(rows, library)
     assert tokenfile.op8(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -56,3 +55,23 @@ def test_blocks_decode_from_checkpoints():
     packed = [tokenfile.encode_block(i, lengths, codes) for i in ids]
     got = tokenfile.Decoder(lengths).decode([p for p, _ in packed], [c for _, c in packed], [len(i) for i in ids])
     assert all((a == b).all() for a, b in zip(ids, got, strict=True))
+
+
+def test_file_is_read_from_its_folder_alone(spark, library, tmp_path):
+    rows = [(i, f"text {i} " * (i % 7)) for i in range(300)]
+    folder = f"{tmp_path}/file"
+    assert tokenfile.write_token_file(spark.createDataFrame(rows, "doc_id long, text string"), folder) is None
+    got = tokenfile.read_token_file(spark.newSession(), folder).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in got] == expected(rows, library)
+    assert [library.decode(np.frombuffer(bytes(r.ids), "<u4")[:-1].tolist()) for r in got] == [t for _, t in rows]
+
+
+def test_added_tokens_that_strip_go_whole_to_the_library(library):
+    from tokenizers import AddedToken
+
+    own = Tokenizer.from_str(library.to_str())
+    own.add_tokens([AddedToken("<x>", lstrip=True), AddedToken("<yy>", normalized=False)])
+    encoder = tokenfile.PieceEncoder(own.to_str())
+    texts = ["a  <x> b", "c<yy>d <yy>", "<|endoftext|><x>", "e"]
+    got = [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode(texts, 2)]
+    assert got == [[*own.encode(t, add_special_tokens=False).ids, 2] for t in texts]

@@ -1,14 +1,21 @@
 """Token ids in blocks of canonical length-limited Huffman code.
 
-File format: a table with one row per block of whole documents, in ascending doc_id order (``part``, then ``block``):
-``doc_ids`` and ``counts`` (ids per document, end id included), ``before`` (ids of the part's earlier blocks),
-``payload`` (codes, most significant bit first, padded to 32-bit words) and ``checkpoints`` (bit offset of every
-``STRIDE``-th id, unsigned 64-bit little-endian). The code is canonical, so the code lengths alone describe it. A block
-decodes without its neighbours, and every checkpoint is an entry point: the decoder runs over all checkpoints at once,
-with one table lookup per id.
+File format: a folder with three tables in Parquet, which alone suffice to read the ids back.
+
+- ``blocks``: one row per block of whole documents, in ascending doc_id order (``part``, then ``block``): ``doc_ids`` and
+  ``counts`` (ids per document, end id included), ``before`` (ids of the part's earlier blocks), ``payload`` (codes, most
+  significant bit first, padded to 32-bit words) and ``checkpoints`` (bit offset of every ``stride``-th id, unsigned 64-bit
+  little-endian);
+- ``parts``: ``part`` and ``ahead``, the ids of all earlier parts;
+- ``code``: one row with ``lengths`` (a byte per id; the code is canonical, so the lengths alone describe it) and
+  ``stride``. It is written last, so a folder without it is an unfinished file.
+
+A block decodes without its neighbours, and every checkpoint is an entry point: the decoder runs over all checkpoints at
+once, with one table lookup per id.
 
 The tokenizers library encodes each distinct piece of the texts once per worker memo; pieces are what its own byte-level
-pre-tokenizer would cut, so a text's ids are those of encoding it whole.
+pre-tokenizer would cut, and added tokens (``<|endoftext|>``) are cut out before, as the library does, so a text's ids are
+those of encoding it whole.
 
 Defined cases: null is the empty text (its only id is the end id); rows with a null doc_id come first; repeated rows
 stay; an empty table gives no block.
@@ -18,16 +25,17 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import materialise, slices, total_bytes
+from weftgraph.llm.common import materialise, shared_dir, slices, total_bytes
 from weftgraph.llm.pretokens import splitter
 
 END = 2
@@ -35,8 +43,8 @@ STRIDE = 128
 BLOCK_IDS = 1 << 16
 LONGEST = 18
 PART_BYTES = 8 << 20
-#: Pieces kept in a worker's memo, the longest piece that stays when it is emptied, and new pieces encoded at once.
-MEMO, SHORT, LINES = 400_000, 7, 512
+#: Pieces kept in a worker's memo, the longest piece that stays when it is emptied, and new pieces encoded in one text.
+MEMO, SHORT, LINES = 400_000, 7, 32
 
 
 class PieceEncoder:
@@ -47,20 +55,38 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model)
-        self.library.encode_special_tokens = True
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.kind, self.find, self.memo = f"<u{self.width}", splitter(), {}
+        self.kind, self.find = f"<u{self.width}", splitter()
         self.line = re.compile(r" ?[^\s]+").fullmatch
-        (self.line_break,) = self.library.encode("\n", add_special_tokens=False).ids
+        (self.line_break,) = self._ids("\n")
+        added = self.library.get_added_tokens_decoder()
+        plain = {i: t for i, t in added.items() if not (t.single_word or t.lstrip or t.rstrip or t.normalized)}
+        # Texts with other added tokens go to the library whole; those with plain ones are cut there, longest first.
+        alternatives = lambda tokens: "|".join(re.escape(t.content) for t in sorted(tokens, key=lambda t: -len(t.content))) or "(?!)"
+        self.cut, self.whole = re.compile(f"({alternatives(plain.values())})"), re.compile(alternatives(t for i, t in added.items() if i not in plain))
+        self.fixed = {t.content: np.array([i], self.kind).tobytes() for i, t in plain.items()}
+        self.memo = dict(self.fixed)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _pieces(self, text: str) -> list[str]:
+        if not self.cut.search(text):
+            return self.find(text)
+        return [p for at, part in enumerate(self.cut.split(text)) for p in ([part] if at % 2 else self.find(part))]
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         if len(self.memo) > MEMO:  # frequent pieces are short
-            self.memo = {k: v for k, v in self.memo.items() if len(k) <= SHORT}
+            self.memo = {k: v for k, v in self.memo.items() if len(k) <= SHORT} | self.fixed
         get, found, gaps = self.memo.get, [], []
         for t in texts:
-            pieces = self.find(t) if t else []
-            known = list(map(get, pieces))
-            gaps.append([(i, pieces[i]) for i, k in enumerate(known) if k is None])
+            if t and self.whole.search(t):
+                known, missing = [np.array(self._ids(t), self.kind).tobytes()], []
+            else:
+                pieces = self._pieces(t) if t else []
+                known = list(map(get, pieces))
+                missing = [(i, pieces[i]) for i, k in enumerate(known) if k is None] if None in known else []
+            gaps.append(missing)
             found.append(known)
         self._learn(list(dict.fromkeys(p for g in gaps for _, p in g)))
         memo, last = self.memo, np.array([end], self.kind).tobytes()
@@ -74,14 +100,13 @@ class PieceEncoder:
         """Encode new pieces. Those without inner white space go many to a text, one a line: a line break is always a
         piece of its own, so its id separates their ids."""
         lines = [p for p in pieces if self.line(p)]
-        for at in range(0, len(lines), LINES):
-            some = lines[at : at + LINES]
-            ids = np.array(self.library.encode("\n".join(some), add_special_tokens=False).ids, self.kind)
-            cuts = [-1, *np.flatnonzero(ids == self.line_break).tolist(), len(ids)]
-            raw, w = ids.tobytes(), self.width
-            self.memo.update(zip(some, [raw[(a + 1) * w : b * w] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        some = [lines[at : at + LINES] for at in range(0, len(lines), LINES)]
+        for own, e in zip(some, self.library.encode_batch_fast(["\n".join(x) for x in some], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            cuts, raw, w = [-1, *np.flatnonzero(ids == self.line_break).tolist(), len(ids)], ids.tobytes(), self.width
+            self.memo.update(zip(own, [raw[(a + 1) * w : b * w] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
         rest = [p for p in pieces if not self.line(p)]
-        for p, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
+        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.memo[p] = np.array(e.ids, self.kind).tobytes()
 
 
@@ -100,7 +125,8 @@ def token_blocks(docs: DataFrame, path: str | None = None, text: str = "text", d
     with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary file, a few MB
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = max(16, -(-total_bytes(own, "text") // PART_BYTES))
+    # Parts grow with the root of the size, and so do the cuts that the driver holds: 30,000 parts at 100 TB.
+    parts = max(16, round(8 * (total_bytes(own, "text") / PART_BYTES) ** 0.5))
     found = own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
     cuts = np.unique(np.array(found, np.int64))
 
@@ -203,7 +229,8 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tup
 
 
 class Decoder:
-    def __init__(self, lengths: np.ndarray):
+    def __init__(self, lengths: np.ndarray, stride: int = STRIDE):
+        self.stride = stride
         self.bits = int(lengths.max(initial=1))
         self.symbol, self.length = np.zeros(1 << self.bits, np.uint32), np.zeros(1 << self.bits, np.int64)
         own = np.flatnonzero(lengths)
@@ -216,12 +243,12 @@ class Decoder:
         """Ids of several blocks; every checkpoint of all of them decodes in step."""
         starts = [np.frombuffer(c, "<u8").astype(np.int64) for c in checkpoints]
         bases = np.cumsum([0, *map(len, payloads)])[:-1] * 8
-        tail = bytes(4 * (2 + STRIDE * self.bits // 32 + 1))
+        tail = bytes(4 * (2 + self.stride * self.bits // 32 + 1))
         words = np.frombuffer(b"".join(payloads) + tail, ">u4").astype(np.uint64)
         at = np.concatenate([s + b for s, b in zip(starts, bases, strict=True)])
-        out = np.empty((len(at), STRIDE), np.uint32)
+        out = np.empty((len(at), self.stride), np.uint32)
         limit = len(words) - 2
-        for k in range(STRIDE):
+        for k in range(self.stride):
             word = np.minimum(at >> 5, limit)
             frame = words[word] << np.uint64(32) | words[word + 1]
             peek = (frame >> (64 - self.bits - (at & 31)).astype(np.uint64)) & np.uint64((1 << self.bits) - 1)
@@ -234,8 +261,9 @@ class Decoder:
         return found
 
 
-def write_token_file(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, np.ndarray, list[tuple[int, int]]]:
-    """The file's blocks (a table in the shared folder), the code lengths, and each part's number of earlier ids."""
+def write_token_file(docs: DataFrame, folder: str, path: str | None = None) -> None:
+    """Write the documents' ids into a new folder, in the format above."""
+    spark = docs.sparkSession
     blocks, width = token_blocks(docs, path)
     blocks = materialise(blocks, "token-blocks")
     counts = id_counts(blocks, width)
@@ -243,7 +271,7 @@ def write_token_file(docs: DataFrame, path: str | None = None) -> tuple[DataFram
     for i, n in counts.items():
         dense[i] = n
     lengths = code_lengths(dense)
-    code = docs.sparkSession.sparkContext.broadcast((lengths, canonical_codes(lengths)))  # one entry per id of the vocabulary
+    code = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))  # one entry per id of the vocabulary
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 16):
@@ -251,29 +279,48 @@ def write_token_file(docs: DataFrame, path: str | None = None) -> tuple[DataFram
             fixed = {c: batch.column(c) for c in ("part", "block", "before", "doc_ids", "counts")}
             yield pa.record_batch(fixed | {"payload": pa.array([p for p, _ in packed], pa.binary()), "checkpoints": pa.array([c for _, c in packed], pa.binary())})
 
-    written = materialise(blocks.mapInArrow(encode, "part int, block int, before long, doc_ids array<long>, counts array<long>, payload binary, checkpoints binary"), "token-file")
-    totals = sorted(map(tuple, written.groupBy("part").agg(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)"))).collect()))  # one row per part
-    ahead = np.cumsum([0, *(n for _, n in totals)])
-    return written, lengths, [(p, int(a)) for (p, _), a in zip(totals, ahead, strict=False)]
+    blocks.mapInArrow(encode, "part int, block int, before long, doc_ids array<long>, counts array<long>, payload binary, checkpoints binary").write.parquet(f"{folder}/blocks")
+    written = spark.read.parquet(f"{folder}/blocks")
+    sizes = written.groupBy("part").agg(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")).alias("n"))
+    _ahead(sizes).write.parquet(f"{folder}/parts")
+    spark.createDataFrame([(bytearray(lengths.tobytes()), STRIDE)], "lengths binary, stride int").write.parquet(f"{folder}/code")
+
+
+def _ahead(sizes: DataFrame) -> DataFrame:
+    """part, ahead: sums of the earlier parts, within groups of parts and then over the groups. The driver sees a sum per
+    group, and there are as many groups as parts in one."""
+    sizes = materialise(sizes, "part-sizes")
+    group = F.floor(F.col("part") / max(1, round(sizes.count() ** 0.5))).cast("int")
+    totals = dict(map(tuple, sizes.groupBy(group.alias("g")).agg(F.sum("n")).collect()))
+    keys = sorted(totals)
+    earlier = np.cumsum([0, *(totals[k] for k in keys)]).tolist()
+    base = sizes.sparkSession.createDataFrame(list(zip(keys, earlier, strict=False)), "g int, base long")
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sizes.withColumn("g", group).select("g", "part", inside.alias("inside")).join(base, "g").select("part", (F.col("inside") + F.col("base")).alias("ahead"))
 
 
-def read_token_file(written: DataFrame, lengths: np.ndarray, offsets: list[tuple[int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids (packed little-endian unsigned 32-bit) of every document, from the blocks."""
-    shared = written.sparkSession.sparkContext.broadcast((lengths, dict(offsets)))
+def read_token_file(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids (packed little-endian unsigned 32-bit) of every document, from the folder alone."""
+    code = spark.read.parquet(f"{folder}/code").first()
+    shared = spark.sparkContext.broadcast((np.frombuffer(bytes(code.lengths), np.uint8), code.stride))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, ahead = Decoder(shared.value[0]), shared.value[1]
+        decoder = Decoder(*shared.value)
         for batch in slices(batches, 16):
             rows = batch.to_pydict()
             blocks = decoder.decode(rows["payload"], rows["checkpoints"], [sum(c) for c in rows["counts"]])
-            for part, before, doc_ids, counts, ids in zip(rows["part"], rows["before"], rows["doc_ids"], rows["counts"], blocks, strict=True):
+            for before, doc_ids, counts, ids in zip(rows["before"], rows["doc_ids"], rows["counts"], blocks, strict=True):
                 ends = np.cumsum(counts)
                 starts, raw = ends - counts, ids.astype("<u4").tobytes()
-                yield pa.record_batch({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(starts + (ahead[part] + before)), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array([raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())})
+                yield pa.record_batch({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(starts + before), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array([raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
-    return written.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    placed = spark.read.parquet(f"{folder}/blocks").join(spark.read.parquet(f"{folder}/parts"), "part")
+    placed = placed.select((F.col("before") + F.col("ahead")).alias("before"), "doc_ids", "counts", "payload", "checkpoints")
+    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op8(docs: DataFrame, path: str | None = None) -> DataFrame:
-    found = read_token_file(*write_token_file(docs, path))
+    folder = f"{shared_dir(docs.sparkSession)}/token-file-{uuid.uuid4().hex}"
+    write_token_file(docs, folder, path)
+    found = read_token_file(docs.sparkSession, folder)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
