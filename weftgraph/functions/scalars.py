@@ -7,46 +7,98 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Cell types with their node kind and operator glyph.
-CELL_GLYPHS = {
-    "$add": "+", "$sub": "-", "$mul": "*", "$div": "/", "$mod": "%", "$pow": "**", "$and": "&", "$or": "|", "$xor": "^", "$xnor": "~^",
-    "$not": "~", "$neg": "-", "$pos": "+", "$logic_not": "!", "$logic_and": "&&", "$logic_or": "||", "$reduce_and": "&", "$reduce_or": "|",
-    "$reduce_xor": "^", "$reduce_xnor": "~^", "$reduce_bool": "|", "$eq": "==", "$ne": "!=", "$eqx": "===", "$nex": "!==", "$lt": "<", "$le": "<=",
-    "$gt": ">", "$ge": ">=", "$shl": "<<", "$sshl": "<<<", "$shr": ">>", "$sshr": ">>>", "$shift": ">>", "$shiftx": "[]",
+# Labels of operator cells, the other cells with a kind of their own, roles of port names, classes of glyphs.
+OPERATOR_LABELS = {
+    "$add": "+", "$sub": "−", "$xor": "^", "$reduce_xor": "^", "$_XOR_": "^", "$xnor": "~^", "$reduce_xnor": "~^", "$_XNOR_": "~^",
+    "$and": "&", "$reduce_and": "&", "$_AND_": "&", "$nand": "NAND", "$_NAND_": "NAND", "$logic_and": "&&", "$or": "|", "$_OR_": "|",
+    "$nor": "NOR", "$_NOR_": "NOR", "$logic_or": "||", "$reduce_or": "≥1", "$reduce_bool": "≠0", "$not": "~", "$_NOT_": "~", "$logic_not": "!",
+    "$shl": "≪", "$sshl": "≪", "$shr": "≫", "$sshr": "≫", "$shift": "⇆", "$shiftx": "⇆", "$mul": "×", "$div": "÷", "$divfloor": "÷",
+    "$mod": "%", "$modfloor": "%", "$pow": "**", "$eq": "==", "$eqx": "==", "$ne": "!=", "$nex": "!=", "$lt": "<", "$le": "≤", "$gt": ">", "$ge": "≥",
+    "$neg": "−", "$buf": "→", "$_BUF_": "→", "$pos": "+", "$concat": "{}", "$slice": "[]",
+}
+MUX_CELLS = ("$mux", "$pmux", "$bmux", "$demux")
+REGISTER_CELLS = ("$dff", "$dffe", "$adff", "$adffe", "$aldff", "$aldffe", "$sdff", "$sdffe", "$sdffce")
+LATCH_CELLS = ("$dlatch", "$adlatch")
+PORT_ROLES = {
+    "CLK": "clock", "C": "clock", "ARST": "reset", "SRST": "reset", "ALOAD": "reset", "CLR": "reset", "RESET": "reset", "RST": "reset",
+    "EN": "enable", "E": "enable", "CE": "enable", "D": "data", "AD": "data", "A": "data", "B": "data", "Q": "data", "Y": "data",
+    "ADDR": "address", "RD_ADDR": "address", "WR_ADDR": "address", "DATA": "data", "RD_DATA": "data", "WR_DATA": "data",
+}
+ORDERED_CELLS = ("$mux", "$sub", "$shl", "$sshl", "$shr", "$sshr", "$shift", "$shiftx", "$div", "$divfloor", "$mod", "$modfloor", "$pow", "$lt", "$le", "$gt", "$ge")
+GATES = {
+    "&": "and", "&&": "and", "|": "or", "||": "or", "≥1": "or", "≠0": "or", "^": "xor", "~^": "xnor", "NAND": "nand", "NOR": "nor", "~": "not", "!": "not", "→": "buffer",
+}
+OPERATOR_NAMES = {
+    "+": "Add", "−": "Subtract", "^": "Exclusive or", "~^": "Exclusive nor", "NAND": "Nand", "NOR": "Nor", "&": "And", "&&": "Logical and", "|": "Or",
+    "||": "Logical or", "≥1": "Or", "≠0": "Boolean reduction", "~": "Bitwise not", "!": "Logical not", "≪": "Shift left", "≫": "Shift right", "×": "Multiply",
+    "÷": "Divide", "%": "Modulo", "⇆": "Dynamic shift", "**": "Power", "==": "Equal", "!=": "Not equal", "<": "Less than", "≤": "Less than or equal",
+    ">": "Greater than", "≥": "Greater than or equal", "→": "Buffer", "{}": "Concatenate", "[]": "Slice",
 }
-MUX_CELLS = ("$mux", "$pmux", "$bmux", "$bwmux", "$demux")
-REGISTER_CELLS = ("$dff", "$dffe", "$adff", "$adffe", "$aldff", "$aldffe", "$sdff", "$sdffe", "$sdffce", "$dffsr", "$dffsre", "$ff")
-LATCH_CELLS = ("$dlatch", "$adlatch", "$dlatchsr", "$sr")
-PORT_ROLES = {"CLK": "clock", "C": "clock", "RST": "reset", "ARST": "reset", "SRST": "reset", "R": "reset", "EN": "enable", "E": "enable", "S": "select", "ADDR": "address", "D": "data", "Q": "data", "A": "data", "B": "data", "Y": "data"}
-GATES = {"&": "and", "&&": "and", "|": "or", "||": "or", "^": "xor", "~^": "xnor", "~": "not", "!": "not"}
-ORDERED_CELLS = ("$sub", "$div", "$mod", "$pow", "$lt", "$le", "$gt", "$ge", "$shl", "$sshl", "$shr", "$sshr", "$shift", "$shiftx", "$mux", "$pmux")
 
 
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items())), key)
+
 
 def cell_kind(cell_type: Column) -> Column:
-    """Node kind of a netlist cell type; types without a leading $ are module instances."""
+    """Node kind of a netlist cell type; types without a leading $ are module instances, $_ ones primitives unless an operator."""
     return (
-        F.when(cell_type.isin(list(CELL_GLYPHS)), "operator").when(cell_type.isin(*MUX_CELLS), "mux").when(cell_type.isin(*REGISTER_CELLS), "register")
-        .when(cell_type.isin(*LATCH_CELLS), "latch").when(cell_type.startswith("$mem"), "memory").when(cell_type.startswith("$_"), "primitive")
-        .when(cell_type.startswith("$"), "operator").otherwise("module")
+        F.when(cell_type.isin(list(OPERATOR_LABELS)), "operator").when(cell_type.isin(*MUX_CELLS), "mux").when(cell_type.isin(*REGISTER_CELLS), "register")
+        .when(cell_type.isin(*LATCH_CELLS), "latch").when(cell_type.startswith("$mem"), "memory").when(~cell_type.startswith("$"), "module")
+        .when(cell_type.startswith("$_"), "primitive").otherwise("unknown")
     )
 
 
+def cell_label(cell_name: Column, cell_type: Column) -> Column:
+    """Operators show their sign, instances their name, other cells a fixed word or their type."""
+    kind = cell_kind(cell_type)
+    return (
+        F.when(kind == "operator", _lookup(OPERATOR_LABELS, cell_type)).when(kind == "mux", "MUX").when(kind == "register", "DFF").when(kind == "latch", "LATCH")
+        .when(kind == "memory", "MEM").when(kind == "module", display_name(cell_name)).otherwise(display_name(cell_type))
+    )
+
+
+def cell_definition(cell_type: Column) -> Column:
+    return F.when(cell_kind(cell_type) == "module", display_name(cell_type))
+
+
 def cell_glyph(cell_type: Column) -> Column:
-    return F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in CELL_GLYPHS.items())), cell_type)
+    return _lookup(OPERATOR_LABELS, cell_type)
+
+
+def _port_name(name: Column) -> Column:
+    return F.translate(F.ltrim(name, F.lit("\\")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def port_role(name: Column) -> Column:
-    return F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in PORT_ROLES.items())), F.upper(name))
+def port_role(cell_type: Column, name: Column) -> Column:
+    """Role of a cell's port by its name; S selects on the mux cells alone."""
+    port = _port_name(name)
+    return F.when((port == "S") & cell_type.isin(*MUX_CELLS), "select").otherwise(_lookup(PORT_ROLES, port))
 
 
 def gate_class(glyph: Column) -> Column:
-    return F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in GATES.items())), glyph)
+    return _lookup(GATES, glyph)
+
+
+def operator_name(glyph: Column) -> Column:
+    """Shown name of an operator by its sign."""
+    return F.coalesce(_lookup(OPERATOR_NAMES, glyph), F.concat(F.lit("Operator "), glyph))
+
+
+def shown_direction(direction: Column) -> Column:
+    """Unknown directions are shown as inout."""
+    return F.when(direction == "unknown", "inout").otherwise(direction)
+
+
+def shown_role(role: Column) -> Column:
+    """Roles that are shown; any other is none."""
+    return F.when(role.isin("clock", "reset", "enable", "select", "data"), role)
 
 
 def operand_index(cell_type: Column, port: Column) -> Column:
     """Place of an operand, for cells whose operands are ordered."""
-    return F.when(cell_type.isin(*ORDERED_CELLS) & (port == "A"), 0).when(cell_type.isin(*ORDERED_CELLS) & (port == "B"), 1)
+    name = _port_name(port)
+    return F.when(cell_type.isin(*ORDERED_CELLS) & (name == "A"), 0).when(cell_type.isin(*ORDERED_CELLS) & (name == "B"), 1)
 
 
 def constant_label(bits: Column) -> Column:
@@ -57,9 +109,15 @@ def constant_label(bits: Column) -> Column:
 
 
 def display_name(name: Column) -> Column:
+    """The name without its leading backslashes."""
     return F.ltrim(name, F.lit("\\"))
 
 
+def port_direction(direction: Column) -> Column:
+    low = F.lower(direction)
+    return F.when(low.isin("input", "output", "inout"), low).otherwise("unknown")
+
+
 def short_name(name: Column) -> Column:
     """Last component of a scoped name, cut to 24 characters."""
     last = F.element_at(F.split(name, r"::|\.|/"), -1)
@@ -70,8 +128,12 @@ def signal_type(text: Column) -> Column:
     return F.regexp_replace(text, "^[0-9]+ ", "")
 
 
-def bigrams(text: Column) -> Column:
-    clean = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9_$]", "")
+def plain(text: Column) -> Column:
+    """ASCII letters lower, digits, _ and $ alone."""
+    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9_$]", "")
+
+
+def bigrams(clean: Column) -> Column:
     return F.when(F.length(clean) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(clean) - 1, F.lit(1))), lambda i: F.substring(clean, i, F.lit(2))))
 
 
@@ -82,10 +144,13 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def string_similarity(a: Column, b: Column) -> Column:
-    """Dice coefficient of bigrams with multiplicity; equal strings 1, missing or one-character strings 0."""
-    x, y = bigrams(a), bigrams(b)
-    both = F.size(x) + F.size(y)
-    return F.when(a.isNull() | b.isNull(), F.lit(0.0)).when(a == b, F.lit(1.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(2.0 * overlap(x, y) / both)
+    """Dice coefficient of bigrams with multiplicity of the plain forms; missing or empty strings 0, equal ones or equal plain
+    forms 1, other one-character forms 0."""
+    p, q = plain(a), plain(b)
+    x, y = bigrams(p), bigrams(q)
+    empty = F.coalesce(a, F.lit("")).eqNullSafe(F.lit("")) | F.coalesce(b, F.lit("")).eqNullSafe(F.lit(""))
+    dice = 2.0 * overlap(x, y) / F.greatest(F.size(x) + F.size(y), F.lit(1))
+    return F.when(empty, F.lit(0.0)).when(a == b, F.lit(1.0)).when((p == "") | (q == ""), F.lit(0.0)).when(p == q, F.lit(1.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(dice)
 
 
 def multiset_similarity(a: Column, b: Column) -> Column:
@@ -95,8 +160,24 @@ def multiset_similarity(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(shared / total)
 
 
-def semantic_score(label: Column, glyph_equal: Column, definition: Column) -> Column:
-    return F.lit(0.25) + 0.35 * label + 0.2 * glyph_equal.cast("double") + 0.2 * definition
+def semantic_score(label: Column, glyph: Column, definition: Column) -> Column:
+    """Of the similarities of labels, glyphs and definitions."""
+    return F.lit(0.25) + 0.35 * label + 0.2 * glyph + 0.2 * definition
+
+
+def port_score(ref_pairs: Column, cand_pairs: Column, ref_tokens: Column, cand_tokens: Column) -> Column:
+    """Of both nodes' multisets of (direction, role), and of (direction, role, index)."""
+    return 0.75 * multiset_similarity(ref_pairs, cand_pairs) + 0.25 * multiset_similarity(ref_tokens, cand_tokens)
+
+
+def source_score(distance: Column) -> Column:
+    """Of the least distance in lines between two nodes' places in one file; null: no common file."""
+    return F.coalesce(1.0 / (1 + distance / 20.0), F.lit(0.0))
+
+
+def width_score(ref_parameters: Column, cand_parameters: Column, ref_widths: Column, cand_widths: Column) -> Column:
+    """Equal parameters count half, the similarity of the multisets of port widths the other half."""
+    return (ref_parameters.eqNullSafe(cand_parameters).cast("double") + multiset_similarity(ref_widths, cand_widths)) / 2
 
 
 def final_score(source: Column, semantic: Column, ports: Column, neighbours: Column, params: Column) -> Column:
@@ -178,5 +259,27 @@ def source_ranges(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, r"\|"), lambda p: F.rlike(p, F.lit(form))), one)
 
 
+def valid_range(start_line: Column, start_col: Column, end_line: Column, end_col: Column) -> Column:
+    """Coordinates of 1 or more, the end after the start."""
+    positive = (start_line >= 1) & (start_col >= 1) & (end_line >= 1) & (end_col >= 1)
+    return F.coalesce(positive & ((end_line > start_line) | ((end_line == start_line) & (end_col > start_col))), F.lit(False))
+
+
+def lines_overlap(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
+    """Whether two ranges of whole lines, ends included, share one."""
+    return (start <= other_end) & (other_start <= end)
+
+
+def contains(outer: tuple[Column, ...], inner: tuple[Column, ...]) -> Column:
+    """Whether a range (start line, start column, end line, end column) lies within another."""
+    at = lambda line, col: F.struct(line.alias("l"), col.alias("c"))
+    return (at(outer[0], outer[1]) <= at(inner[0], inner[1])) & (at(inner[2], inner[3]) <= at(outer[2], outer[3]))
+
+
+def layout_profile(wanted: Column, nodes: Column, edges: Column) -> Column:
+    """auto becomes fast for graphs of nodes + 2 * edges >= 2000, else detailed; any other profile stays."""
+    return F.when(wanted != "auto", wanted).when(nodes + 2 * edges >= 2000, "fast").otherwise("detailed")
+
+
 def valid_identifier(name: Column) -> Column:
     return F.rlike(name, F.lit(r"^[A-Za-z_][A-Za-z0-9_$]*$"))

@@ -112,7 +112,7 @@ def multiset_scores(x):
 def match_scores(x):
     k, z = F.col("p_partkey"), F.col("p_size")
     n, s, t, w = k % 7 / 6, z / 50, z % 5 / 4, z % 3 / 2
-    m = scalars.semantic_score(k % 11 / 10, k % 2 == 1, n)
+    m = scalars.semantic_score(k % 11 / 10, (k % 2).cast("double"), n)
     return x.raw("part").select(k.alias("id"), F.round(scalars.pre_score(s, m, t), 9).alias("pre"), F.round(scalars.final_score(s, m, t, n, w), 9).alias("final"))
 
 
@@ -141,15 +141,15 @@ def hunk_classes(x):
 
 
 @query("""WITH e AS (SELECT doc_id AS d, 1 + doc_id % 40 AS l, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, source AS f FROM documents WHERE source IS NOT NULL),
-s AS (SELECT event_id AS selection, f, 1 + event_id % 40 AS l FROM events JOIN (SELECT DISTINCT f FROM e) ON true WHERE event_id % 20 = 0)
+s AS (SELECT event_id AS selection, source AS f, 1 + event_id % 40 AS l FROM events JOIN documents ON doc_id = event_id % 100 WHERE source IS NOT NULL)
 SELECT concat(selection, '/', s.f) AS selection, min(d) AS entity FROM s JOIN e ON e.f = s.f AND e.l = s.l GROUP BY selection, s.f""", view=False)
 def cross_probe(x):
     own = x.raw("documents").where("source is not null")
     line = lambda c: F.col(c) % 40 + 1
     none = F.lit(None).cast("string")
     entities = own.select(F.col("doc_id").alias("entity"), F.lit("node").alias("type"), F.lit("operator").alias("kind"), none.alias("glyph"), F.col("source").alias("file"), line("doc_id").alias("start_line"), F.lit(1).alias("start_col"), line("doc_id").alias("end_line"), F.lit(9).alias("end_col"), F.array(F.lit("a")).alias("terms"), F.col("doc_id").alias("ord"))
-    files = own.select(F.col("source").alias("file")).distinct()
-    picks = x.raw("events").where("event_id % 20 = 0").join(files).select(F.concat_ws("/", F.col("event_id").cast("string"), "file").alias("selection"), "file", line("event_id").alias("line"), F.lit(2).alias("col"), line("event_id").alias("end_line"), F.lit(4).alias("end_col"), none.alias("token"))
+    files = own.select(F.col("doc_id").alias("at"), F.col("source").alias("file"))
+    picks = x.raw("events").withColumn("at", F.col("event_id") % 100).join(files, "at").select(F.concat_ws("/", F.col("event_id").cast("string"), "file").alias("selection"), "file", line("event_id").alias("line"), F.lit(2).alias("col"), line("event_id").alias("end_line"), F.lit(4).alias("end_col"), none.alias("token"))
     return provenance.cross_probe(picks, entities).select("selection", "entity")
 
 

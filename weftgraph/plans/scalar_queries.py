@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from weftgraph.functions import ids, scalars
@@ -18,25 +20,107 @@ def _pick_sql(values: tuple[str, ...], key: str) -> str:
     return f"([{listed}])[{key} % {len(values)} + 1]"
 
 
-_CELLS = ("$add", "$mux", "$dff", "$dlatch", "$mem_v2", "$_AND_", "$odd", "fifo")
+# Every cell type with its kind and label, every port name with its roles.
+_CELL_ROWS = """
+('$add','operator','+'),('$sub','operator','−'),('$xor','operator','^'),('$reduce_xor','operator','^'),('$_XOR_','operator','^'),('$xnor','operator','~^'),('$reduce_xnor','operator','~^'),('$_XNOR_','operator','~^'),
+('$and','operator','&'),('$reduce_and','operator','&'),('$_AND_','operator','&'),('$nand','operator','NAND'),('$_NAND_','operator','NAND'),('$logic_and','operator','&&'),('$or','operator','|'),('$_OR_','operator','|'),
+('$nor','operator','NOR'),('$_NOR_','operator','NOR'),('$logic_or','operator','||'),('$reduce_or','operator','≥1'),('$reduce_bool','operator','≠0'),('$not','operator','~'),('$_NOT_','operator','~'),('$logic_not','operator','!'),
+('$shl','operator','≪'),('$sshl','operator','≪'),('$shr','operator','≫'),('$sshr','operator','≫'),('$shift','operator','⇆'),('$shiftx','operator','⇆'),('$mul','operator','×'),('$div','operator','÷'),('$divfloor','operator','÷'),
+('$mod','operator','%'),('$modfloor','operator','%'),('$pow','operator','**'),('$eq','operator','=='),('$eqx','operator','=='),('$ne','operator','!='),('$nex','operator','!='),('$lt','operator','<'),('$le','operator','≤'),
+('$gt','operator','>'),('$ge','operator','≥'),('$neg','operator','−'),('$buf','operator','→'),('$_BUF_','operator','→'),('$pos','operator','+'),('$concat','operator','{}'),('$slice','operator','[]'),
+('$mux','mux','MUX'),('$pmux','mux','MUX'),('$bmux','mux','MUX'),('$demux','mux','MUX'),('$dff','register','DFF'),('$dffe','register','DFF'),('$adff','register','DFF'),('$adffe','register','DFF'),('$aldff','register','DFF'),
+('$aldffe','register','DFF'),('$sdff','register','DFF'),('$sdffe','register','DFF'),('$sdffce','register','DFF'),('$dlatch','latch','LATCH'),('$adlatch','latch','LATCH'),('$mem','memory','MEM'),('$mem_v2','memory','MEM'),('$memrd','memory','MEM'),
+('$_MUX_','primitive','$_MUX_'),('$_DFF_P_','primitive','$_DFF_P_'),('$bwmux','unknown','$bwmux'),('$ff','unknown','$ff'),('$dffsr','unknown','$dffsr'),('$dffsre','unknown','$dffsre'),('$sr','unknown','$sr'),('$dlatchsr','unknown','$dlatchsr'),
+('$odd','unknown','$odd'),('fifo','module','u_cell'),('\\fifo','module','u_cell')"""
+_CELL_TYPES = re.findall(r"\('([^']+)','[a-z]+'", _CELL_ROWS)
+_PORT_ROWS = """
+('CLK','clock','clock'),('c','clock','clock'),('ARST','reset','reset'),('srst','reset','reset'),('ALOAD','reset','reset'),('CLR','reset','reset'),('RESET','reset','reset'),('\\RST','reset','reset'),('EN','enable','enable'),('E','enable','enable'),
+('CE','enable','enable'),('S','select',NULL),('D','data','data'),('AD','data','data'),('A','data','data'),('B','data','data'),('Q','data','data'),('Y','data','data'),('ADDR','address','address'),('RD_ADDR','address','address'),
+('WR_ADDR','address','address'),('DATA','data','data'),('RD_DATA','data','data'),('wr_data','data','data'),('R',NULL,NULL),('T',NULL,NULL),('other',NULL,NULL)"""
+_PORT_NAMES = re.findall(r"\('([^']+)',(?:'[a-z]+'|NULL),", _PORT_ROWS)
+
+
+def _rows(x, values: list[str], name: str):
+    """The values as a table, made where it runs."""
+    return x.spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
+
+
+@query(f"""SELECT type, kind, label, CASE WHEN kind = 'operator' THEN label END AS glyph, CASE WHEN kind = 'module' THEN 'fifo' END AS definition FROM (VALUES {_CELL_ROWS}) v(type, kind, label)""", view=False)
+def classify_cells(x):
+    t = F.col("type")
+    return _rows(x, _CELL_TYPES, "type").select("type", scalars.cell_kind(t).alias("kind"), scalars.cell_label(F.lit("\\u_cell"), t).alias("label"), scalars.cell_glyph(t).alias("glyph"), scalars.cell_definition(t).alias("definition"))
 
 
-@query(f"""SELECT kind, glyph, count(*) AS n FROM (SELECT CASE t WHEN '$add' THEN 'operator' WHEN '$mux' THEN 'mux' WHEN '$dff' THEN 'register' WHEN '$dlatch' THEN 'latch' WHEN '$mem_v2' THEN 'memory' WHEN '$_AND_' THEN 'primitive' WHEN '$odd' THEN 'operator' ELSE 'module' END AS kind,
- CASE t WHEN '$add' THEN '+' END AS glyph FROM (SELECT {_pick_sql(_CELLS, "p_partkey")} AS t FROM part)) GROUP BY ALL""", view=False)
-def classify_cells(x):
-    t = x.raw("part").select(_pick(_CELLS, "p_partkey").alias("t"))
-    return t.select(scalars.cell_kind(F.col("t")).alias("kind"), scalars.cell_glyph(F.col("t")).alias("glyph")).groupBy("kind", "glyph").agg(F.count("*").alias("n"))
+@query(f"""SELECT port, cell, CASE WHEN cell = '$mux' THEN of_mux ELSE of_other END AS role, CASE (CASE WHEN cell = '$mux' THEN of_mux ELSE of_other END) WHEN 'clock' THEN 'clock' WHEN 'reset' THEN 'reset' WHEN 'enable' THEN 'control' WHEN 'select' THEN 'control' ELSE 'data' END AS edge_role,
+ CASE WHEN cell <> '$dff' AND port = 'A' THEN 0 WHEN cell <> '$dff' AND port = 'B' THEN 1 END AS operand FROM (VALUES {_PORT_ROWS}) v(port, of_mux, of_other), (VALUES ('$mux'), ('$modfloor'), ('$dff')) c(cell)""", view=False)
+def port_roles(x):
+    p = _rows(x, _PORT_NAMES, "port").withColumn("cell", F.explode(F.array(F.lit("$mux"), F.lit("$modfloor"), F.lit("$dff"))))
+    role = scalars.port_role(F.col("cell"), F.col("port"))
+    return p.select("port", "cell", role.alias("role"), scalars.edge_role(role, F.lit(None).cast("string")).alias("edge_role"), scalars.operand_index(F.col("cell"), F.col("port")).alias("operand"))
 
 
-_PORTS = ("clk", "ARST", "EN", "S", "ADDR", "D", "other")
+_ORDERED = ("$mux", "$sub", "$shl", "$sshl", "$shr", "$sshr", "$shift", "$shiftx", "$div", "$divfloor", "$mod", "$modfloor", "$pow", "$lt", "$le", "$gt", "$ge")
 
 
-@query(f"""SELECT p_partkey AS id, CASE p WHEN 'clk' THEN 'clock' WHEN 'ARST' THEN 'reset' WHEN 'EN' THEN 'enable' WHEN 'S' THEN 'select' WHEN 'ADDR' THEN 'address' WHEN 'D' THEN 'data' END AS role,
- CASE p WHEN 'clk' THEN 'clock' WHEN 'ARST' THEN 'reset' WHEN 'EN' THEN 'control' WHEN 'S' THEN 'control' ELSE 'data' END AS edge_role, CASE p WHEN 'clk' THEN 'clock' WHEN 'ARST' THEN 'reset' END AS control FROM (SELECT p_partkey, {_pick_sql(_PORTS, "p_partkey")} AS p FROM part)""", view=False)
-def port_roles(x):
-    p = x.raw("part").select("p_partkey", _pick(_PORTS, "p_partkey").alias("p"))
-    role = scalars.port_role(F.col("p"))
-    return p.select(F.col("p_partkey").alias("id"), role.alias("role"), scalars.edge_role(role, F.lit(None).cast("string")).alias("edge_role"), scalars.control_role(role, F.col("p")).alias("control"))
+@query(f"""SELECT type, port, CASE WHEN type IN ({", ".join(f"'{c}'" for c in _ORDERED)}) THEN CASE port WHEN '\\a' THEN 0 WHEN 'B' THEN 1 END END AS operand FROM (VALUES {_CELL_ROWS}) v(type, kind, label), (VALUES ('\\a'), ('B'), ('Y')) p(port)""", view=False)
+def operand_indexes(x):
+    t = _rows(x, _CELL_TYPES, "type").withColumn("port", F.explode(F.array(F.lit("\\a"), F.lit("B"), F.lit("Y"))))
+    return t.select("type", "port", scalars.operand_index(F.col("type"), F.col("port")).alias("operand"))
+
+
+_GLYPH_ROWS = """
+('+','Add',NULL),('−','Subtract',NULL),('^','Exclusive or','xor'),('~^','Exclusive nor','xnor'),('NAND','Nand','nand'),('NOR','Nor','nor'),('&','And','and'),('&&','Logical and','and'),('|','Or','or'),('||','Logical or','or'),('≥1','Or','or'),
+('≠0','Boolean reduction','or'),('~','Bitwise not','not'),('!','Logical not','not'),('≪','Shift left',NULL),('≫','Shift right',NULL),('×','Multiply',NULL),('÷','Divide',NULL),('%','Modulo',NULL),('⇆','Dynamic shift',NULL),('**','Power',NULL),('==','Equal',NULL),
+('!=','Not equal',NULL),('<','Less than',NULL),('≤','Less than or equal',NULL),('>','Greater than',NULL),('≥','Greater than or equal',NULL),('→','Buffer','buffer'),('{}','Concatenate',NULL),('[]','Slice',NULL),('@','Operator @',NULL)"""
+
+
+@query(f"SELECT glyph, name, gate FROM (VALUES {_GLYPH_ROWS}) v(glyph, name, gate)", view=False)
+def operator_names(x):
+    g = _rows(x, re.findall(r"\('([^']+)','[^']+',", _GLYPH_ROWS), "glyph")
+    return g.select("glyph", scalars.operator_name(F.col("glyph")).alias("name"), scalars.gate_class(F.col("glyph")).alias("gate"))
+
+
+@query("""SELECT DISTINCT event_type AS raw, CASE lower(event_type) WHEN 'input' THEN 'input' ELSE 'unknown' END AS direction, 'inout' AS shown FROM events
+ UNION ALL SELECT * FROM (VALUES ('INPUT', 'input', 'input'), ('output', 'output', 'output'), ('InOut', 'inout', 'inout'), ('', 'unknown', 'inout'))""", view=False)
+def port_directions(x):
+    raw = x.raw("events").select(F.col("event_type").alias("raw")).distinct().union(_rows(x, ["INPUT", "output", "InOut", ""], "raw"))
+    return raw.select("raw", scalars.port_direction(F.col("raw")).alias("direction"), scalars.shown_direction(scalars.port_direction(F.col("raw"))).alias("shown"))
+
+
+@query("""SELECT event_id AS id, NOT (a < 1 OR b < 1 OR c < 1 OR d < 1 OR c < a OR (c = a AND d <= b)) AS valid, (a <= c + 2 AND c - 1 <= a) AS same_lines,
+ (a > 2 OR (a = 2 AND b >= 2)) AND (c < 6 OR (c = 6 AND d <= 4)) AS inside FROM (SELECT event_id, event_id % 7 AS a, user_id % 5 AS b, event_id % 9 AS c, user_id % 6 AS d FROM events)""", view=False)
+def range_rules(x):
+    e = x.raw("events").select("event_id", (F.col("event_id") % 7).alias("a"), (F.col("user_id") % 5).alias("b"), (F.col("event_id") % 9).alias("c"), (F.col("user_id") % 6).alias("d"))
+    a, b, c, d = map(F.col, "abcd")
+    return e.select(
+        F.col("event_id").alias("id"), scalars.valid_range(a, b, c, d).alias("valid"), scalars.lines_overlap(a, a, c - 1, c + 2).alias("same_lines"), scalars.contains((F.lit(2).cast("long"), F.lit(2).cast("long"), F.lit(6).cast("long"), F.lit(4).cast("long")), (a, b, c, d)).alias("inside")
+    )
+
+
+@query("""SELECT n_name AS module, w AS wanted, CASE WHEN w <> 'auto' THEN w WHEN (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + 2 * (SELECT count(*) FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey) >= 2000 THEN 'fast' ELSE 'detailed' END AS profile
+ FROM nation, (VALUES ('auto'), ('wide')) p(w)""", view=False)
+def layout_profiles(x):
+    kids = x.raw("customer").groupBy("c_nationkey").agg(F.count("*").alias("nodes"))
+    wires = x.raw("orders").join(x.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count("*").alias("edges"))
+    n = x.raw("nation").withColumn("c_nationkey", F.col("n_nationkey")).join(kids, "c_nationkey", "left").join(wires, "c_nationkey", "left").fillna(0, ["nodes", "edges"])
+    n = n.withColumn("wanted", F.explode(F.array(F.lit("auto"), F.lit("wide"))))
+    return n.select(F.col("n_name").alias("module"), "wanted", scalars.layout_profile(F.col("wanted"), F.col("nodes"), F.col("edges")).alias("profile"))
+
+
+_TEXTS = """
+('',''),('A','a'),('a','b'),('a','ab'),('__','__'),('Foo Bar','foobar'),('é','è'),('abc','abd'),('aaaa','aa'),('x$1','X$1'),('clk_i','clk'),(NULL,'a'),('a',NULL),('- -','---'),('n','N!')"""
+
+
+@query(f"""WITH v AS (SELECT * FROM (VALUES {_TEXTS}) v(a, b)), p AS (SELECT *, regexp_replace(lower(coalesce(a, '')), '[^a-z0-9_$]', '', 'g') AS x, regexp_replace(lower(coalesce(b, '')), '[^a-z0-9_$]', '', 'g') AS y FROM v),
+g AS (SELECT a, b, unnest(list_transform(range(1, length(x)), lambda i: substring(x, i, 2))) AS g, 1 AS u, 0 AS w FROM p UNION ALL SELECT a, b, unnest(list_transform(range(1, length(y)), lambda i: substring(y, i, 2))), 0, 1 FROM p),
+c AS (SELECT a, b, sum(least(u, w)) AS n FROM (SELECT a, b, g, sum(u) AS u, sum(w) AS w FROM g GROUP BY ALL) GROUP BY ALL)
+SELECT p.a, p.b, round(CASE WHEN coalesce(p.a, '') = '' OR coalesce(p.b, '') = '' THEN 0 WHEN p.a = p.b THEN 1 WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 WHEN length(x) = 1 OR length(y) = 1 THEN 0
+ ELSE 2.0 * coalesce(n, 0) / (length(x) + length(y) - 2) END, 6)::DOUBLE AS similarity FROM p LEFT JOIN c ON c.a IS NOT DISTINCT FROM p.a AND c.b IS NOT DISTINCT FROM p.b""", view=False)
+def string_similarity_edges(x):
+    pairs = re.findall(r"\((NULL|'[^']*'),(NULL|'[^']*')\)", _TEXTS)
+    value = lambda t: F.lit(None if t == "NULL" else t[1:-1]).cast("string")
+    p = x.spark.range(1).select(F.explode(F.array(*[F.struct(value(a).alias("a"), value(b).alias("b")) for a, b in pairs])).alias("v")).select("v.*")
+    return p.select("a", "b", F.round(scalars.string_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 @query("SELECT p_partkey AS id, concat('3''b', CASE WHEN p_size % 8 = 0 THEN '0' ELSE concat((p_size // 4) % 2, (p_size // 2) % 2, p_size % 2) END) AS label FROM part", view=False)

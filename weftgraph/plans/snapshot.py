@@ -124,7 +124,7 @@ def transparent_expand(x):
     return graph.expand_instances(nodes, edges, inst, inner, wires, doors)[1].select("id", "source_node", "target_node")
 
 
-_WIRES = "WITH d AS (SELECT l_partkey % 97 AS m, l_partkey AS w, concat('order:', l_orderkey) AS n, l_linenumber AS p FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 5 = 0), s AS (SELECT l_partkey % 97 AS m, l_partkey AS w, concat('order:', l_orderkey) AS n, l_linenumber AS p FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 5 = 0)"
+_WIRES = "WITH d AS (SELECT l_partkey % 97 AS m, l_partkey AS w, concat('order:', l_orderkey) AS n, l_linenumber AS p FROM lineitem WHERE l_returnflag = 'A'), s AS (SELECT l_partkey % 97 AS m, l_partkey AS w, concat('order:', l_orderkey) AS n, l_linenumber AS p FROM lineitem WHERE l_returnflag = 'R')"
 
 
 def _wires(x):

@@ -96,7 +96,7 @@ def import_graph(modules: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = connect.bundle(bits.join(labels, ["module", "wire"], "left").withColumn("origin", F.col("wire"))).drop("origins")
     edges = edges.unionByName(consts.select(F.to_json("module").alias("module"), F.col("node_id").alias("source_node"), F.lit("Y").alias("source_port"), "target_node", "target_port", "label", "width"))
     t = F.col("type")
-    nodes = c.join(bufs, ["file", "module", "cell"], "left_anti").select(F.to_json(F.struct("file", "module")).alias("module"), F.concat(F.lit("cell:"), "cell").alias("node_id"), scalars.cell_kind(t).alias("kind"), scalars.display_name(F.col("cell")).alias("label"), scalars.cell_glyph(t).alias("glyph"), F.when(scalars.cell_kind(t) == "module", t).alias("definition_name"))
+    nodes = c.join(bufs, ["file", "module", "cell"], "left_anti").select(F.to_json(F.struct("file", "module")).alias("module"), F.concat(F.lit("cell:"), "cell").alias("node_id"), scalars.cell_kind(t).alias("kind"), scalars.cell_label(F.col("cell"), t).alias("label"), scalars.cell_glyph(t).alias("glyph"), scalars.cell_definition(t).alias("definition_name"))
     none = F.lit(None).cast("string")
     nodes = nodes.union(p.select(F.to_json(F.struct("file", "module")), boundary, "direction", "port", none, none).distinct())
     return nodes.union(consts.select(F.to_json("module"), "node_id", F.lit("constant"), "label", none, none)), edges
