@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.matching import unique_keys
+from weftgraph.operators.matching import MATCH, met_once, scoped, unique_keys
 from weftgraph.session import materialise
 
 # The fields that decide whether a matched pair is modified.
-NODE_FIELDS = ("kind", "label", "definition_name", "width")
+NODE_FIELDS = ("kind", "label", "glyph", "definition_name", "parameters_json")
 PORT_FIELDS = ("name", "direction", "index", "role", "width")
-EDGE_FIELDS = ("width",)
+EDGE_FIELDS = ("label", "width", "signal_type", "role")
 GROUP_FIELDS = ("name", "definition_name")
 
 
@@ -19,21 +19,25 @@ def status(present_ref: Column, present_cand: Column, equal: Column) -> Column:
     return F.when(~present_cand, "removed").when(~present_ref, "added").when(equal, "unchanged").otherwise("modified")
 
 
-def pair_nodes(ref: DataFrame, cand: DataFrame, matches: DataFrame, fields: tuple[str, ...] = NODE_FIELDS) -> DataFrame:
-    """ref, cand (structs of all columns, null for a missing side), method, score, status: one row per union object."""
-    r = ref.select(F.col("id").alias("ref_id"), F.struct("*").alias("ref"))
-    c = cand.select(F.col("id").alias("cand_id"), F.struct("*").alias("cand"))
-    both = r.join(matches, "ref_id", "left").join(c, "cand_id", "full_outer")
-    equal = F.lit(True)
-    for f in fields:
-        equal = equal & F.col("ref")[f].eqNullSafe(F.col("cand")[f])
-    return both.select("ref_id", "cand_id", "ref", "cand", "method", "score", status(F.col("ref").isNotNull(), F.col("cand").isNotNull(), equal).alias("status"))
+def pair_nodes(ref: DataFrame, cand: DataFrame, matches: DataFrame, ports: DataFrame | None = None, fields: tuple[str, ...] = NODE_FIELDS) -> DataFrame:
+    """scope, ref_id, cand_id, ref, cand (structs of the fields, null for a missing side), method, score, status: one row per
+    union object. A pair with a changed port (ports: scope, ref_id, cand_id, status) is modified too."""
+    own = lambda df: [c for c in fields if c in df.columns]
+    r = scoped(ref).select("scope", F.col("id").alias("ref_id"), F.struct(*own(ref)).alias("ref"))
+    c = scoped(cand).select("scope", F.col("id").alias("cand_id"), F.struct(*own(cand)).alias("cand"))
+    both = r.join(scoped(matches), ["scope", "ref_id"], "left").join(c, ["scope", "cand_id"], "full_outer")
+    equal = F.col("ref").eqNullSafe(F.col("cand"))
+    if ports is not None:
+        changed = ports.where("status <> 'unchanged'").select(*MATCH).distinct().withColumn("port_changed", F.lit(True))
+        both = both.join(changed, MATCH, "left")
+        equal = equal & F.col("port_changed").isNull()
+    return both.select(*MATCH, "ref", "cand", "method", "score", status(F.col("ref").isNotNull(), F.col("cand").isNotNull(), equal).alias("status"))
 
 
 def union_nodes(paired: DataFrame) -> DataFrame:
     """Union graph's nodes: the candidate's payload wins; overlay key is the pair of ids."""
     side = F.coalesce("cand", "ref")
-    return paired.select("ref_id", "cand_id", *[side[c].alias(c) for c in ("kind", "label", "definition_name", "width")], "method", "status")
+    return paired.select(*MATCH, *[side[c].alias(c) for c in paired.schema["ref"].dataType.names], "method", "status")
 
 
 def diff_counts(paired: list[DataFrame], top_changed: bool = False) -> DataFrame:
@@ -56,51 +60,92 @@ def overlap_ratio(matches: DataFrame, ref: DataFrame, cand: DataFrame, least: fl
 def pair_ports(ref_ports: DataFrame, cand_ports: DataFrame, matches: DataFrame) -> DataFrame:
     """Ports of matched nodes by id, then unique (name, direction, role, index), then unique (direction, role, index).
 
-    Returns pair (the node pair's ref_id, cand_id), ref_port, cand_port, stage.
+    Returns scope, ref_id, cand_id (the node pair), ref_port, cand_port, stage, equal (all fields agree).
     """
-    node = lambda ports, side: ports.join(matches.select("ref_id", "cand_id"), ports["node_id"] == matches[f"{side}_id"]).select("ref_id", "cand_id", *[ports[c] for c in ports.columns if c != "node_id"])
-    scope = lambda df: df.withColumn("id", F.to_json(F.struct("ref_id", "cand_id", "port_id")))
-    r, c, found = scope(node(ref_ports, "ref")), scope(node(cand_ports, "cand")), None
-    keys = [("port_id",), ("name", "direction", "role", "index"), ("direction", "role", "index")]
-    for stage, fields in enumerate(keys):
-        key = F.to_json(F.struct("ref_id", "cand_id", *fields))
-        new = unique_keys(r.select("id", key.alias("key")), c.select("id", key.alias("key"))).select("ref_id", "cand_id", F.lit(stage).alias("stage"))
+    pair = scoped(matches).select(*MATCH)
+
+    def own(ports: DataFrame, side: str) -> DataFrame:
+        held = scoped(ports).select("scope", F.col("node_id").alias(f"{side}_id"), F.col("port_id").alias("id"), *[F.col(c) for c in PORT_FIELDS])
+        return held.join(pair, ["scope", f"{side}_id"])
+
+    r, c, found = own(ref_ports, "ref"), own(cand_ports, "cand"), None
+    for stage, fields in enumerate((("id",), ("name", "direction", "role", "index"), ("direction", "role", "index"))):
+        keyed = lambda df: df.select("scope", "id", *PORT_FIELDS, F.struct("ref_id", "cand_id", *fields).alias("key"))  # noqa: B023, E731
+        met = met_once(keyed(r), keyed(c))
+        equal = lambda f: F.col(f"r.{f}").eqNullSafe(F.col(f"c.{f}"))
+        same = equal(PORT_FIELDS[0])
+        for f in PORT_FIELDS[1:]:
+            same = same & equal(f)
+        new = met.select("scope", F.col("key.ref_id").alias("ref_id"), F.col("key.cand_id").alias("cand_id"), F.col("r.id").alias("ref_port"), F.col("c.id").alias("cand_port"), F.lit(stage).alias("stage"), same.alias("equal"))
         new = materialise(new, "ports")  # both residues and the result read it
         found = new if found is None else found.union(new)
-        r, c = (df.join(new.select(F.col(s).alias("id")), "id", "left_anti") for df, s in ((r, "ref_id"), (c, "cand_id")))
-    port = lambda s: F.get_json_object(s, "$.port_id")
-    return found.select(F.get_json_object("ref_id", "$.ref_id").alias("ref_id"), F.get_json_object("ref_id", "$.cand_id").alias("cand_id"), port("ref_id").alias("ref_port"), port("cand_id").alias("cand_port"), "stage")
+        r, c = (df.join(new.select(*MATCH, F.col(s).alias("id")), [*MATCH, "id"], "left_anti") for df, s in ((r, "ref_port"), (c, "cand_port")))
+    return found
 
 
 def port_status(ref_ports: DataFrame, cand_ports: DataFrame, pairs: DataFrame, matches: DataFrame) -> DataFrame:
-    """ref_id, cand_id, ref_port, cand_port, status of all ports of matched nodes."""
-    own = matches.select("ref_id", "cand_id")
-    side = lambda ports, s: own.join(ports.select(F.col("node_id").alias(f"{s}_id"), F.col("port_id").alias(f"{s}_port"), F.struct(*PORT_FIELDS).alias(s)), f"{s}_id")
-    left = side(ref_ports, "ref").join(pairs.drop("stage"), ["ref_id", "cand_id", "ref_port"], "left")
-    full = left.join(side(cand_ports, "cand"), ["ref_id", "cand_id", "cand_port"], "full_outer")
-    return full.select("ref_id", "cand_id", "ref_port", "cand_port", status(F.col("ref").isNotNull(), F.col("cand").isNotNull(), F.col("ref").eqNullSafe(F.col("cand"))).alias("status"))
+    """scope, ref_id, cand_id, ref_port, cand_port, status of all ports of matched nodes."""
+    pair = scoped(matches).select(*MATCH)
 
+    def alone(ports: DataFrame, side: str, word: str) -> DataFrame:
+        own = scoped(ports).select("scope", F.col("node_id").alias(f"{side}_id"), F.col("port_id").alias(f"{side}_port")).join(pair, ["scope", f"{side}_id"])
+        rest = own.join(pairs.select(*MATCH, f"{side}_port"), [*MATCH, f"{side}_port"], "left_anti")
+        none = F.lit(None).cast("string")
+        return rest.select(*MATCH, (F.col("ref_port") if side == "ref" else none).alias("ref_port"), (F.col("cand_port") if side == "cand" else none).alias("cand_port"), F.lit(word).alias("status"))
 
-def pair_edges(ref_edges: DataFrame, cand_edges: DataFrame, matches: DataFrame) -> DataFrame:
-    """Edges by remapped endpoints: an edge keeps its identity only while both ends stay matched.
+    met = pairs.select(*MATCH, "ref_port", "cand_port", F.when(F.col("equal"), "unchanged").otherwise("modified").alias("status"))
+    return met.union(alone(ref_ports, "ref", "removed")).union(alone(cand_ports, "cand", "added"))
 
-    Returns ref_edge, cand_edge, ref_width, cand_width, status; endpoints of unmatched nodes keep a side's own name.
-    """
-    name = F.to_json(F.struct("ref_id", "cand_id"))
-    ref_map, cand_map = matches.select(F.col("ref_id").alias("n"), name.alias("o")), matches.select(F.col("cand_id").alias("n"), name.alias("o"))
 
-    def mapped(edges: DataFrame, by: DataFrame, tag: str) -> DataFrame:
-        for end in ("source_node", "target_node"):
-            edges = edges.join(by.select(F.col("n").alias(end), F.col("o").alias(f"{end}_o")), end, "left").withColumn(f"{end}_o", F.coalesce(f"{end}_o", F.concat(F.lit(f"{tag}:"), end)))
-        ports = [c for c in ("source_port", "target_port") if c in edges.columns]
-        return edges.withColumn("key", F.to_json(F.struct("source_node_o", "target_node_o", *ports)))
+def pair_edges(ref_edges: DataFrame, cand_edges: DataFrame, matches: DataFrame, ports: DataFrame | None = None) -> DataFrame:
+    """Edges by equal id and mapped ends, then by mapped ends that one edge alone has on each side.
 
-    r, c = mapped(ref_edges, ref_map, "ref"), mapped(cand_edges, cand_map, "cand")
-    pairs = unique_keys(r.select("id", "key"), c.select("id", "key"))
-    left = r.select(F.col("id").alias("ref_id"), F.col("width").alias("ref_width")).join(pairs, "ref_id", "left")
-    full = left.join(c.select(F.col("id").alias("cand_id"), F.col("width").alias("cand_width")), "cand_id", "full_outer")
-    equal = F.col("ref_width").eqNullSafe(F.col("cand_width"))
-    return full.select(F.col("ref_id").alias("ref_edge"), F.col("cand_id").alias("cand_edge"), "ref_width", "cand_width", status(F.col("ref_id").isNotNull(), F.col("cand_id").isNotNull(), equal).alias("status"))
+    Ends are nodes and ports (ports: pairs of the matched nodes' ports); an end without a partner is its side's own. Returns
+    scope, ref_edge, cand_edge, method, ref, cand (structs of the payload), status.
+    """
+    own = scoped(matches).select(*MATCH)
+    fields = [c for c in EDGE_FIELDS if c in ref_edges.columns]
+    end = lambda known, name: F.struct(known.isNull().alias("alone"), F.coalesce(known, name).alias("n"))
+
+    def mapped(edges: DataFrame, side: str) -> DataFrame:
+        out, ends = scoped(edges), []
+        for e in ("source", "target"):
+            node, port = f"{e}_node", f"{e}_port"
+            if side == "cand":
+                ends += [end(F.col(node), F.col(node)), end(F.coalesce(F.col(port), F.lit("")) if port in edges.columns else F.lit(""), F.lit(""))]
+                continue
+            out = out.join(own.select("scope", F.col("ref_id").alias(node), F.col("cand_id").alias(f"{e}_to")), ["scope", node], "left")
+            to_port = F.lit("")
+            if port in edges.columns:
+                if ports is not None:
+                    known = ports.select("scope", F.col("ref_id").alias(node), F.col("ref_port").alias(port), F.col("cand_port").alias(f"{e}_port_to"))
+                    out = out.join(known, ["scope", node, port], "left")
+                    to_port = F.when(F.col(port).isNull(), F.lit("")).otherwise(F.col(f"{e}_port_to"))
+                else:
+                    to_port = F.coalesce(F.col(port), F.lit(""))
+            ends += [end(F.col(f"{e}_to"), F.col(node)), end(to_port, F.coalesce(F.col(port), F.lit("")) if port in edges.columns else F.lit(""))]
+        return out.select("scope", "id", *fields, F.struct(*[x.alias(f"e{i}") for i, x in enumerate(ends)]).alias("ends"))
+
+    r, c = materialise(mapped(ref_edges, "ref"), "ref-edges"), materialise(mapped(cand_edges, "cand"), "cand-edges")
+    row = lambda df, n: df.select("scope", "id", "ends", F.struct("id", *fields).alias(n))
+    exact = materialise(row(r, "r").join(row(c, "c"), ["scope", "id", "ends"]).select("scope", "id", "r", "c"), "exact-edges")
+    rest = lambda df: df.join(exact.select("scope", "id"), ["scope", "id"], "left_anti").withColumnRenamed("ends", "key")
+    a, b = rest(r), rest(c)
+    ended = met_once(a, b).select("scope", "r", "c")
+    both = exact.select("scope", "r", "c", F.lit("exact").alias("method")).union(ended.select("scope", "r", "c", F.lit("structural").alias("method")))
+    both = materialise(both, "edge-pairs")
+    kind = {n: both.schema[n].dataType for n in ("r", "c")}
+    none = F.lit(None)
+
+    def alone(df: DataFrame, n: str, other: str) -> DataFrame:
+        left = df.join(both.select("scope", F.col(f"{n}.id").alias("id")), ["scope", "id"], "left_anti").select("scope", F.struct("id", *fields).alias(n))
+        return left.select("scope", *[(F.col(x) if x == n else none.cast(kind[x])).alias(x) for x in ("r", "c")], none.cast("string").alias("method"))
+
+    full = both.union(alone(a, "r", "c")).union(alone(b, "c", "r"))
+    equal = F.lit(True)
+    for f in fields:
+        equal = equal & F.col(f"r.{f}").eqNullSafe(F.col(f"c.{f}"))
+    return full.select("scope", F.col("r.id").alias("ref_edge"), F.col("c.id").alias("cand_edge"), "method", F.col("r").alias("ref"), F.col("c").alias("cand"), status(F.col("r").isNotNull(), F.col("c").isNotNull(), equal).alias("status"))
 
 
 def pair_groups(ref_groups: DataFrame, cand_groups: DataFrame, ref_children: DataFrame, cand_children: DataFrame, matches: DataFrame) -> DataFrame:
@@ -108,7 +153,7 @@ def pair_groups(ref_groups: DataFrame, cand_groups: DataFrame, ref_children: Dat
     exact = ref_groups.select(F.col("group_id").alias("ref_id")).join(cand_groups.select(F.col("group_id").alias("cand_id")), F.col("ref_id") == F.col("cand_id"))
     key = F.to_json(F.struct(*GROUP_FIELDS)).alias("key")
     rest = lambda g, s: g.select(F.col("group_id").alias("id"), key).join(exact.select(F.col(s).alias("id")), "id", "left_anti")
-    pairs = exact.union(unique_keys(rest(ref_groups, "ref_id"), rest(cand_groups, "cand_id")))
+    pairs = exact.union(unique_keys(rest(ref_groups, "ref_id"), rest(cand_groups, "cand_id")).select("ref_id", "cand_id"))
     mapped = ref_children.join(matches.select(F.col("ref_id").alias("child_node_id"), "cand_id"), "child_node_id", "left").groupBy("group_id").agg(F.array_sort(F.collect_set(F.coalesce("cand_id", F.concat(F.lit("ref:"), "child_node_id")))).alias("kids"))
     own = cand_children.groupBy("group_id").agg(F.array_sort(F.collect_set("child_node_id")).alias("kids"))
     side = lambda g, k, s: g.join(k, "group_id", "left").select(F.col("group_id").alias(f"{s}_id"), F.struct(*GROUP_FIELDS, "kids").alias(s))
@@ -120,7 +165,7 @@ def side_projection(paired: DataFrame, side: str) -> DataFrame:
     """Union objects with the chosen side's payload where it has one, and whether it has."""
     other = "cand" if side == "ref" else "ref"
     own = F.coalesce(side, other)
-    return paired.select("ref_id", "cand_id", *[own[c].alias(c) for c in ("label", "width")], F.col(side).isNotNull().alias("present"))
+    return paired.select(*MATCH, *[own[c].alias(c) for c in paired.schema[side].dataType.names], F.col(side).isNotNull().alias("present"))
 
 
 def changes_only(nodes: DataFrame, edges: DataFrame) -> DataFrame:

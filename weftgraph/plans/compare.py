@@ -13,142 +13,149 @@ from weftgraph.session import materialise
 
 
 def _matches(x: Fixture) -> DataFrame:
-    return materialise(matching.conservative(x.ref_nodes(), x.cand_nodes()), "matches")
+    return materialise(matching.conservative(x.graph("ref"), x.graph("cand"), x.line_map()), "matches")
 
 
-def _paired(x: Fixture) -> DataFrame:
-    return diff.pair_nodes(x.ref_nodes(), x.cand_nodes(), _matches(x))
+def _paired(x: Fixture, m: DataFrame | None = None) -> DataFrame:
+    r, c = x.graph("ref"), x.graph("cand")
+    m = _matches(x) if m is None else m
+    ports = diff.port_status(r.ports, c.ports, diff.pair_ports(r.ports, c.ports, m), m)
+    return diff.pair_nodes(r.nodes, c.nodes, m, ports)
 
 
-def _edges(x: Fixture) -> DataFrame:
-    return diff.pair_edges(x.ref_edges(), x.cand_edges(), _matches(x))
+def _edges(x: Fixture, m: DataFrame | None = None) -> DataFrame:
+    r, c = x.graph("ref"), x.graph("cand")
+    m = _matches(x) if m is None else m
+    return diff.pair_edges(r.edges, c.edges, m, diff.pair_ports(r.ports, c.ports, m))
 
 
-@query("SELECT kind, status, coalesce(method, 'none') AS method, count(*) AS n FROM paired GROUP BY ALL")
+@query("SELECT scope, kind, status, coalesce(method, 'none') AS method, count(*) AS n FROM paired GROUP BY ALL", modules=True)
 def compare_summary(x):
-    return _paired(x).groupBy(F.coalesce("cand", "ref")["kind"].alias("kind"), "status", F.coalesce("method", F.lit("none")).alias("method")).agg(F.count("*").alias("n"))
+    return _paired(x).groupBy("scope", F.coalesce("cand", "ref")["kind"].alias("kind"), "status", F.coalesce("method", F.lit("none")).alias("method")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT ref_id, cand_id FROM exact")
+@query("SELECT scope, ref_id, cand_id FROM exact", modules=True)
 def exact_id_match(x):
-    return matching.exact_id(x.ref_nodes(), x.cand_nodes())
+    return matching.exact_id(x.graph("ref").nodes, x.graph("cand").nodes)
 
 
-@query("SELECT ref_id, cand_id FROM named")
+@query("SELECT scope, ref_id, cand_id FROM named", modules=True)
 def unique_key_match(x):
-    return _matches(x).where("method = 'named'").select("ref_id", "cand_id")
+    return _matches(x).where("method = 'named'").select("scope", "ref_id", "cand_id")
 
 
-@query("SELECT 'ref' AS side, id, kind FROM ref_nodes WHERE id NOT IN (SELECT ref_id FROM matches) UNION ALL SELECT 'cand', id, kind FROM cand_nodes WHERE id NOT IN (SELECT cand_id FROM matches)")
+@query("SELECT scope, ref_id, cand_id FROM sourced", modules=True)
+def source_matches(x):
+    return _matches(x).where("method = 'source'").select("scope", "ref_id", "cand_id")
+
+
+@query("SELECT scope, ref_id, cand_id, score FROM matches WHERE method = 'structural'", modules=True)
+def structural_matches(x):
+    return _matches(x).where("method = 'structural'").select("scope", "ref_id", "cand_id", "score")
+
+
+@query("""SELECT 'ref' AS side, scope, id, kind FROM rn n WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.scope = n.scope AND m.ref_id = n.id)
+ UNION ALL SELECT 'cand', scope, id, kind FROM cn n WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.scope = n.scope AND m.cand_id = n.id)""", modules=True)
 def unmatched_residue(x):
     m = _matches(x)
-    own = lambda n, s: matching.residue(n, m, s).select(F.lit(s).alias("side"), "id", "kind")
-    return own(x.ref_nodes(), "ref").union(own(x.cand_nodes(), "cand"))
+    own = lambda n, s: matching.residue(n, m, s).select(F.lit(s).alias("side"), "scope", "id", "kind")
+    return own(x.graph("ref").nodes, "ref").union(own(x.graph("cand").nodes, "cand"))
 
 
-@query("SELECT ref_id, cand_id, status FROM paired")
+@query("SELECT scope, ref_id, cand_id, status FROM paired", modules=True)
 def diff_status(x):
-    return _paired(x).select("ref_id", "cand_id", "status")
+    return _paired(x).select("scope", "ref_id", "cand_id", "status")
 
 
-@query("SELECT ref_id, cand_id, kind, label, definition_name, width, method, status FROM paired")
+@query("SELECT scope, ref_id, cand_id, kind, label, glyph, definition_name, parameters_json, method, status FROM paired", modules=True)
 def union_nodes(x):
     return diff.union_nodes(_paired(x))
 
 
-@query("SELECT ref_edge, cand_edge, ref_width, cand_width, status FROM edge_paired")
+@query("SELECT scope, ref_edge, cand_edge, method, status FROM edge_paired", modules=True)
 def edge_pairing(x):
-    return _edges(x)
+    return _edges(x).select("scope", "ref_edge", "cand_edge", "method", "status")
 
 
-@query("SELECT coalesce(cand_edge, ref_edge) AS id, coalesce(cand_width, ref_width) AS width, status FROM edge_paired")
+@query("SELECT scope, coalesce(cand_edge, ref_edge) AS id, label, width, signal_type, status FROM edge_paired", modules=True)
 def union_edges(x):
-    return _edges(x).select(F.coalesce("cand_edge", "ref_edge").alias("id"), F.coalesce("cand_width", "ref_width").alias("width"), "status")
+    side = F.coalesce("cand", "ref")
+    return _edges(x).select("scope", F.coalesce("cand_edge", "ref_edge").alias("id"), *[side[c].alias(c) for c in ("label", "width", "signal_type")], "status")
 
 
-@query("SELECT status, count(*) AS n FROM (SELECT status FROM paired UNION ALL SELECT status FROM edge_paired) GROUP BY status")
+@query("SELECT status, count(*) AS n FROM (SELECT status FROM paired UNION ALL SELECT status FROM edge_paired) GROUP BY status", modules=True)
 def diff_counts(x):
-    return diff.diff_counts([_paired(x), _edges(x)])
+    m = _matches(x)
+    return diff.diff_counts([_paired(x, m), _edges(x, m)])
 
 
 @query("""SELECT p, n_ref, n_cand, round(p / greatest(n_ref, n_cand), 6) AS ratio, p / greatest(n_ref, n_cand) < 0.2 AS low FROM
-(SELECT (SELECT count(*) FROM matches) AS p, (SELECT count(*) FROM ref_nodes) AS n_ref, (SELECT count(*) FROM cand_nodes) AS n_cand)""")
+(SELECT (SELECT count(*) FROM matches) AS p, (SELECT count(*) FROM rn) AS n_ref, (SELECT count(*) FROM cn) AS n_cand)""", modules=True)
 def overlap_ratio(x):
-    return diff.overlap_ratio(_matches(x), x.ref_nodes(), x.cand_nodes()).select(F.col("paired").alias("p"), "n_ref", "n_cand", F.round("ratio", 6).alias("ratio"), "low")
-
-
-_PORTS = """, parts AS (SELECT p_partkey AS k, p_size AS w FROM part WHERE p_size % 7 <> 0),
-rp AS (SELECT k, 'A' AS port, 0 AS i, w FROM parts UNION ALL SELECT k, 'B', 1, w FROM parts UNION ALL SELECT k, 'Y', 2, w FROM parts),
-cp AS (SELECT k, CASE WHEN k % 13 = 0 THEN 'A2' ELSE 'A' END AS port, 0 AS i, CASE WHEN w % 5 = 0 THEN w + 1 ELSE w END AS w FROM parts UNION ALL
-  SELECT k, CASE WHEN k % 17 = 0 THEN 'B9' ELSE 'B' END, 1, CASE WHEN w % 5 = 0 THEN w + 1 ELSE w END FROM parts UNION ALL SELECT k, 'Y', 2, CASE WHEN w % 5 = 0 THEN w + 1 ELSE w END FROM parts)
-"""
+    return diff.overlap_ratio(_matches(x), x.graph("ref").nodes, x.graph("cand").nodes).select(F.col("paired").alias("p"), "n_ref", "n_cand", F.round("ratio", 6).alias("ratio"), "low")
 
 
-def _in_view(ctes: str, body: str) -> str:
-    from weftgraph.plans.fixtures import CTES
-
-    return f"WITH RECURSIVE {CTES}{ctes}{body}"
-
-
-@query(_in_view(_PORTS, "SELECT concat('part:', k) AS ref_id, concat('part:', k) AS cand_id, r.port AS ref_port, c.port AS cand_port, CAST(CASE WHEN r.port = c.port THEN 0 WHEN r.port = 'A' THEN 1 ELSE 2 END AS INTEGER) AS stage FROM rp r JOIN cp c USING (k, i)"), view=False)
+@query("SELECT scope, ref_id, cand_id, ref_port, cand_port, CAST(CASE WHEN ref_port = cand_port THEN 0 WHEN ref_port = 'A' THEN 1 ELSE 2 END AS INTEGER) AS stage FROM port_pairs", modules=True)
 def port_pairing(x):
-    ops = _matches(x).where(F.col("ref_id").startswith("part:"))
-    return diff.pair_ports(x.ports("ref"), x.ports("cand"), ops)
+    r, c = x.graph("ref"), x.graph("cand")
+    return diff.pair_ports(r.ports, c.ports, _matches(x)).drop("equal")
 
 
-@query(_in_view(_PORTS, "SELECT CASE WHEN r.w = c.w AND (r.port <> 'B' OR c.port = 'B') THEN 'unchanged' ELSE 'modified' END AS status, count(*) AS n FROM rp r JOIN cp c USING (k, i) GROUP BY 1"), view=False)
+@query("SELECT scope, ref_id, ref_port, cand_port, status FROM port_pairs", modules=True)
 def port_status(x):
-    ops = _matches(x).where(F.col("ref_id").startswith("part:"))
-    r, c = x.ports("ref"), x.ports("cand")
-    return diff.port_status(r, c, diff.pair_ports(r, c, ops), ops).groupBy("status").agg(F.count("*").alias("n"))
+    r, c, m = x.graph("ref"), x.graph("cand"), _matches(x)
+    return diff.port_status(r.ports, c.ports, diff.pair_ports(r.ports, c.ports, m), m).drop("cand_id")
 
 
 @query("""SELECT concat('group:', n_nationkey) AS ref_group, concat(CASE WHEN n_nationkey % 5 = 0 THEN 'group:v2-' ELSE 'group:' END, n_nationkey) AS cand_group,
 CASE WHEN n_nationkey % 7 = 0 AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 10 = 1) THEN 'modified' ELSE 'unchanged' END AS status FROM nation""")
 def group_pairing(x):
-    return diff.pair_groups(x.groups("ref"), x.groups("cand"), x.children("ref"), x.children("cand"), _matches(x))
+    return diff.pair_groups(x.groups("ref"), x.groups("cand"), x.children("ref"), x.children("cand"), _matches(x).where("scope = 'top'"))
 
 
-@query("SELECT ref_id, cand_id, coalesce(cand_label, ref_label) AS label, coalesce(cand_width, ref_width) AS width, cand_id IS NOT NULL AS present FROM paired")
+@query("SELECT scope, ref_id, cand_id, kind, label, glyph, definition_name, parameters_json, cand_id IS NOT NULL AS present FROM paired", modules=True)
 def side_projection(x):
     return diff.side_projection(_paired(x), "cand")
 
 
-@query("SELECT status, count(*) AS n, sum(CASE WHEN method = 'named' THEN 1 ELSE 0 END)::BIGINT AS named FROM paired WHERE status IN ('added', 'removed', 'modified') GROUP BY status")
+@query("SELECT status, count(*) AS n, sum(CASE WHEN method = 'named' THEN 1 ELSE 0 END)::BIGINT AS named FROM paired WHERE status IN ('added', 'removed', 'modified') GROUP BY status", modules=True)
 def status_visibility(x):
     return diff.visible(_paired(x), ("added", "removed", "modified")).groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("method") == "named", F.lit(False))).alias("named"))
 
 
 @query("""SELECT DISTINCT id FROM (
- SELECT coalesce(cand_id, ref_id) AS id FROM paired WHERE status <> 'unchanged'
- UNION ALL SELECT e.target_node FROM cand_edges e JOIN edge_paired x ON x.cand_edge = e.id AND x.status = 'unchanged' JOIN paired p ON p.cand_id = e.source_node AND p.status <> 'unchanged'
- UNION ALL SELECT e.source_node FROM cand_edges e JOIN edge_paired x ON x.cand_edge = e.id AND x.status = 'unchanged' JOIN paired p ON p.cand_id = e.target_node AND p.status <> 'unchanged'
- UNION ALL SELECT unnest([e.source_node, e.target_node]) FROM cand_edges e JOIN edge_paired x ON x.cand_edge = e.id AND x.status <> 'unchanged'
- UNION ALL SELECT unnest([e.source_node, e.target_node]) FROM ref_edges e JOIN edge_paired x ON x.ref_edge = e.id AND x.status = 'removed')""")
+ SELECT coalesce(cand_id, ref_id) AS id FROM paired WHERE status <> 'unchanged' AND scope = 'top'
+ UNION ALL SELECT e.t FROM ce e JOIN edge_paired x ON x.scope = e.scope AND x.cand_edge = e.id AND x.status = 'unchanged' JOIN paired p ON p.scope = e.scope AND p.cand_id = e.s AND p.status <> 'unchanged' WHERE e.scope = 'top'
+ UNION ALL SELECT e.s FROM ce e JOIN edge_paired x ON x.scope = e.scope AND x.cand_edge = e.id AND x.status = 'unchanged' JOIN paired p ON p.scope = e.scope AND p.cand_id = e.t AND p.status <> 'unchanged' WHERE e.scope = 'top'
+ UNION ALL SELECT unnest([e.s, e.t]) FROM ce e JOIN edge_paired x ON x.scope = e.scope AND x.cand_edge = e.id AND x.status <> 'unchanged' WHERE e.scope = 'top'
+ UNION ALL SELECT unnest([e.s, e.t]) FROM re e JOIN edge_paired x ON x.scope = e.scope AND x.ref_edge = e.id AND x.status = 'removed' WHERE e.scope = 'top')""", modules=True)
 def changes_only_context(x):
-    e = materialise(_edges(x), "edge-pairs")
-    ends = x.cand_edges().join(e.where("cand_edge is not null").select(F.col("cand_edge").alias("id"), "status"), "id").select("source_node", "target_node", "status")
-    gone = x.ref_edges().join(e.where("status = 'removed'").select(F.col("ref_edge").alias("id"), "status"), "id").select("source_node", "target_node", "status")
-    return diff.changes_only(materialise(_paired(x), "node-pairs").select(F.coalesce("cand_id", "ref_id").alias("id"), "status"), ends.union(gone))
+    m = _matches(x)
+    e = materialise(_edges(x, m).where("scope = 'top'"), "edge-pairs")
+    own = lambda side: x.graph(side).edges.where("scope = 'top'")
+    ends = own("cand").join(e.where("cand_edge is not null").select(F.col("cand_edge").alias("id"), "status"), "id").select("source_node", "target_node", "status")
+    gone = own("ref").join(e.where("status = 'removed'").select(F.col("ref_edge").alias("id"), "status"), "id").select("source_node", "target_node", "status")
+    nodes = materialise(_paired(x, m).where("scope = 'top'").select(F.coalesce("cand_id", "ref_id").alias("id"), "status"), "node-pairs")
+    return diff.changes_only(nodes, ends.union(gone))
 
 
-@query("""SELECT ref_id, cand_id, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.75 THEN 'medium' ELSE 'low' END AS band, method FROM matches""")
+@query("""SELECT scope, ref_id, cand_id, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.75 THEN 'medium' ELSE 'low' END AS band, method FROM matches""", modules=True)
 def confidence_band(x):
-    return _matches(x).select("ref_id", "cand_id", scalars.confidence_band(F.col("score")).alias("band"), "method")
+    return _matches(x).select("scope", "ref_id", "cand_id", scalars.confidence_band(F.col("score")).alias("band"), "method")
 
 
 @query("""SELECT i.id, CASE WHEN c.id IS NULL THEN 'none' ELSE 'contains' END AS state FROM (SELECT DISTINCT parent_id AS id FROM cand_nodes WHERE parent_id IS NOT NULL) i LEFT JOIN (
- WITH RECURSIVE up AS (SELECT n.id, n.parent_id FROM cand_nodes n JOIN paired p ON p.cand_id = n.id WHERE p.status <> 'unchanged' UNION SELECT n.id, n.parent_id FROM up JOIN cand_nodes n ON n.id = up.parent_id) SELECT DISTINCT id FROM up) c USING (id)""")
+ WITH RECURSIVE up AS (SELECT n.id, n.parent_id FROM cand_nodes n JOIN paired p ON p.cand_id = n.id AND p.scope = 'top' WHERE p.status <> 'unchanged' UNION SELECT n.id, n.parent_id FROM up JOIN cand_nodes n ON n.id = up.parent_id) SELECT DISTINCT id FROM up) c USING (id)""", modules=True)
 def hierarchy_change_rollup(x):
-    changed = _paired(x).where("cand_id is not null").select(F.col("cand_id").alias("id"), (F.col("status") != "unchanged").alias("changed"))
+    changed = _paired(x).where("cand_id is not null and scope = 'top'").select(F.col("cand_id").alias("id"), (F.col("status") != "unchanged").alias("changed"))
     return graph.change_rollup(x.cand_nodes().join(changed, "id"), 4)
 
 
 @query("""SELECT id, method, score, n_weak FROM (SELECT p.parent_id AS id, CASE WHEN count(m.ref_id) FILTER (m.method = 'named') > 0 THEN 'heuristic' ELSE 'exact' END AS method,
  round(CASE WHEN count(m.ref_id) FILTER (m.method = 'named') > 0 THEN 0.98 ELSE 1.0 END, 6)::DOUBLE AS score, count(DISTINCT m.ref_id) FILTER (m.method = 'named') AS n_weak
- FROM ref_nodes p JOIN matches m ON m.ref_id = p.id WHERE p.parent_id LIKE 'nation:%' GROUP BY 1)""")
+ FROM ref_nodes p JOIN matches m ON m.ref_id = p.id AND m.scope = 'top' WHERE p.parent_id LIKE 'nation:%' GROUP BY 1)""", modules=True)
 def confidence_propagation(x):
-    m = _matches(x).join(x.ref_nodes().select(F.col("id").alias("ref_id"), "parent_id"), "ref_id").where(F.col("parent_id").startswith("nation:"))
+    m = _matches(x).where("scope = 'top'").join(x.ref_nodes().select(F.col("id").alias("ref_id"), "parent_id"), "ref_id").where(F.col("parent_id").startswith("nation:"))
     deps = m.select(F.col("parent_id").alias("id"), F.col("ref_id").alias("dep_id"), F.col("score").alias("dep_score"), F.when(F.col("method") == "named", "heuristic").otherwise(F.col("method")).alias("dep_method"))
     out = matching.with_dependencies(deps.select("id").distinct().select("id", F.lit("exact").alias("method"), F.lit(1.0).alias("score")), deps)
     return out.select("id", "method", F.round("score", 6).alias("score"), "n_weak")
@@ -181,11 +188,3 @@ def rotating_page(x):
     ref = x.raw("customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"), F.col("c_nationkey").alias("key"))
     cand = x.raw("supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.col("s_nationkey").alias("key"))
     return matching.rotating_page(ref, cand, "key", 3)
-
-
-@query("""SELECT ref_id, cand_id FROM (
- SELECT r.id AS ref_id, c.id AS cand_id FROM (SELECT key, min(id) AS id FROM (SELECT n.id, string_agg(e.source_node || '', ',' ORDER BY e.source_node) || '|' || n.label AS key FROM ref_rest n JOIN ref_edges e ON e.target_node = n.id JOIN exact m ON m.ref_id = e.source_node WHERE n.id NOT IN (SELECT ref_id FROM named) GROUP BY n.id, n.label) GROUP BY key HAVING count(*) = 1) r
- JOIN (SELECT key, min(id) AS id FROM (SELECT n.id, string_agg(m.ref_id || '', ',' ORDER BY m.ref_id) || '|' || n.label AS key FROM cand_rest n JOIN cand_edges e ON e.target_node = n.id JOIN exact m ON m.cand_id = e.source_node WHERE n.id NOT IN (SELECT cand_id FROM named) GROUP BY n.id, n.label) GROUP BY key HAVING count(*) = 1) c USING (key))""")
-def structural_round(x):
-    ref, cand = x.ref_nodes(), x.cand_nodes()
-    return matching.structural_round(ref, cand, x.ref_edges(), x.cand_edges(), _matches(x).select("ref_id", "cand_id"))

@@ -71,11 +71,12 @@ def instance_paths(x):
     return presentation.instance_paths(x.ref_nodes().where("startswith(id, 'customer')"), up, held)
 
 
-@query("""SELECT DISTINCT m.cand_id AS anchor, 'operator' AS kind, e.target_node AS id FROM ref_edges e JOIN matches m ON m.ref_id = e.source_node WHERE e.target_node NOT IN (SELECT ref_id FROM matches)
- UNION SELECT m.cand_id, 'register', e.source_node FROM ref_edges e JOIN matches m ON m.ref_id = e.target_node WHERE e.source_node NOT IN (SELECT ref_id FROM matches)""")
+@query("""SELECT DISTINCT m.cand_id AS anchor, n.kind, n.id FROM (SELECT scope, s AS near, t AS id FROM re UNION ALL SELECT scope, t, s FROM re) e JOIN exact m ON m.scope = e.scope AND m.ref_id = e.near JOIN rn n ON n.scope = e.scope AND n.id = e.id
+ WHERE e.scope = 'top' AND NOT EXISTS (SELECT 1 FROM exact t WHERE t.scope = e.scope AND t.ref_id = e.id)""", modules=True)
 def shared_neighbours(x):
-    m = matching.conservative(x.ref_nodes(), x.cand_nodes()).select(F.col("ref_id").alias("id"), F.col("cand_id").alias("partner"))
-    return presentation.shared_neighbours(x.ref_edges(), x.ref_nodes(), m)
+    r, c = x.graph("ref"), x.graph("cand")
+    m = matching.exact_id(r.nodes, c.nodes).where("scope = 'top'").select(F.col("ref_id").alias("id"), F.col("cand_id").alias("partner"))
+    return presentation.shared_neighbours(r.edges.where("scope = 'top'"), r.nodes.where("scope = 'top'"), m)
 
 
 @query("SELECT concat('part:', p_partkey) AS id, 'input|data|0,input|data|1,output|data|' AS signature FROM part", view=False)
@@ -159,7 +160,7 @@ def session_states(x):
     return sessions.current(e).select("token", "state", "tries")
 
 
-@query("""WITH RECURSIVE p AS (SELECT ref_id, cand_id, status FROM paired) SELECT status, count(*) AS n FROM p WHERE status IN ('added', 'removed') GROUP BY status""")
+@query("SELECT status, count(*) AS n FROM paired WHERE status IN ('added', 'removed') GROUP BY status", modules=True)
 def visible_one_sided(x):
-    m = matching.conservative(x.ref_nodes(), x.cand_nodes())
-    return diff.visible(diff.pair_nodes(x.ref_nodes(), x.cand_nodes(), m), ("added", "removed")).groupBy("status").agg(F.count("*").alias("n"))
+    r, c = x.graph("ref"), x.graph("cand")
+    return diff.visible(diff.pair_nodes(r.nodes, c.nodes, matching.conservative(r, c, x.line_map())), ("added", "removed")).groupBy("status").agg(F.count("*").alias("n"))
