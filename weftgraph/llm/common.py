@@ -23,6 +23,20 @@ def total_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("n")).first().n
 
 
+def join_unique(left: DataFrame, right: DataFrame, key: str, share: float = 1e-3, least: int = 64) -> DataFrame:
+    """Inner join of ``left`` with at most one row of ``right`` a key, where few keys may hold most of ``left``.
+
+    A key with over ``share`` of the rows is hot; there are at most ``1 / share`` of these, so their rows of ``right`` are
+    broadcast, and only the other keys are shuffled. Both sides are read twice: pass tables.
+    """
+    sizes = left.groupBy(key).agg(F.count("*").alias("n"))
+    hot = [r[0] for r in sizes.where(F.col("n") > max(least, int(left.count() * share))).collect()]
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.where(~is_hot).join(right.where(~is_hot), key).unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key))
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the fifth of rows that no model may learn from."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

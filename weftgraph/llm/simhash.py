@@ -4,12 +4,17 @@ A fingerprint is the bitwise majority of the XXH64 values of a text's word shing
 ``max_bits`` or fewer differing bits. The search works on distinct fingerprints only:
 
 1. every fingerprint carries its Hamming distances to 16 fixed reference fingerprints (the pivot table), computed once;
-2. fingerprints meet where 3 of 6 parts of their bits agree, which any pair at 3 or fewer differing bits does;
-3. inside a meeting, |d(x, p) - d(y, p)| <= d(x, y) discards every pair whose largest coordinate difference exceeds
-   ``max_bits``; survivors are verified by their differing bits;
+2. fingerprints meet where 2 of 5 parts of their bits agree, which any pair at 3 or fewer differing bits does. A meeting
+   that holds over ``HOT`` of all fingerprints is dealt into pivot cells: ranges of the distances to the first
+   ``CELL_PIVOTS`` pivots, each widened by ``max_bits``, so that a pair that may link still meets in one of them;
+3. inside a meeting, sorted by the first distance, |d(x, p) - d(y, p)| <= d(x, y) discards every pair whose largest
+   coordinate difference exceeds ``max_bits``; survivors are verified by their differing bits;
 4. a meeting returns a spanning star of each of its connected pieces (at most n - 1 links for n fingerprints, never all
    pairs), and the stars are joined into components by label propagation with pointer jumping.
 
+A fingerprint of very many rows is one node of this search; its rows get their component by a broadcast of such
+fingerprints alone, of which there are at most a thousand.
+
 Defined cases: null and white-space texts have fingerprint zero and link like any other; fewer words than the shingle
 size give one shingle of all words; equal texts share a fingerprint; repeated rows stay as rows; a null id is never a
 component id unless all ids of its group are null.
@@ -23,15 +28,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import map_slices, materialise
+from weftgraph.llm.common import join_unique, map_slices, materialise
 
 SEED = 42
 BITS = 64
 PIVOTS = 16
-PARTS = 6
+#: Share of all fingerprints (and least number) from which a meeting is dealt into cells of that many pivots and distances.
+HOT, HOT_LEAST, CELL_PIVOTS, CELL = 1e-4, 256, 4, 8
+#: Meetings up to this size are compared all at once; larger ones one by one.
+SMALL = 64
 #: Shingles hashed before their bits are counted.
 CHUNK = 1 << 15
 
@@ -71,10 +79,10 @@ def _pivots() -> list[int]:
 
 
 def _masks(max_bits: int) -> list[int]:
-    """Bit masks of which every pair within ``max_bits`` agrees on at least one."""
-    edges = [round(i * BITS / (max_bits + 3)) for i in range(max_bits + 4)]
+    """Bit masks of which every pair within ``max_bits`` agrees on at least one: any two of ``max_bits + 2`` parts."""
+    edges = [round(i * BITS / (max_bits + 2)) for i in range(max_bits + 3)]
     parts = [sum(1 << b for b in range(x, y)) for x, y in zip(edges, edges[1:], strict=False)]
-    return [int(np.uint64(sum(c)).view(np.int64)) for c in combinations(parts, 3)]
+    return [int(np.uint64(sum(c)).view(np.int64)) for c in combinations(parts, 2)]
 
 
 def pivot_table(nodes: DataFrame) -> DataFrame:
@@ -117,22 +125,72 @@ def stars(ids: np.ndarray, fps: np.ndarray, coords: np.ndarray, max_bits: int) -
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
 
 
+def meeting_links(starts: np.ndarray, ids: np.ndarray, fps: np.ndarray, coords: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of several meetings, which begin at ``starts`` and are sorted by their first coordinate."""
+    ends = np.append(starts[1:], len(ids))
+    sizes = ends - starts
+    end = np.repeat(ends, sizes)
+    linked = sizes > SMALL
+    small = np.flatnonzero(np.repeat(~linked, sizes))
+    for lag in range(1, SMALL):
+        small = small[small + lag < end[small]]
+        if not len(small):
+            break
+        near = small[coords[small + lag, 0] - coords[small, 0] <= max_bits]
+        near = near[np.abs(coords[near + lag] - coords[near]).max(axis=1, initial=0) <= max_bits]
+        near = near[np.bitwise_count(fps[near + lag] ^ fps[near]) <= max_bits]
+        linked[np.searchsorted(starts, near, "right") - 1] = True
+    found = [stars(ids[x:y], fps[x:y], coords[x:y], max_bits) for x, y in zip(starts[linked].tolist(), ends[linked].tolist(), strict=True)]
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *(f[0] for f in found)]), np.concatenate([empty, *(f[1] for f in found)])
+
+
+def _cells(max_bits: int) -> Column:
+    """For a row in a hot meeting, the numbers of its pivot cells; one cell otherwise."""
+
+    def extended(cells: Column, both: Column) -> Column:
+        return F.flatten(F.transform(cells, lambda c: F.transform(both, lambda x: c * 16 + x + 1)))
+
+    cells = F.array(F.lit(0))
+    for i in range(CELL_PIVOTS):
+        d = F.shiftrightunsigned("c0", 8 * i).bitwiseAND(F.lit(255)).cast("int")
+        own = F.floor(d / CELL).cast("int")
+        # A pair across an edge meets in the lower cell.
+        both = F.when(d % CELL < max_bits, F.array(own, own - 1)).otherwise(F.array(own))
+        cells = extended(cells, both)
+    return F.when(F.col("hot"), cells).otherwise(F.array(F.lit(0)))
+
+
 def star_links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
     """Links (a, b) with a > b between the ``first`` ids of distinct fingerprints; their components are those of all links."""
-    spread = pivot_table(nodes).select(
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(max_bits)])).alias("t", "key"), F.struct("first", "fp", "c0", "c1").alias("node")
-    )
-    met = spread.groupBy("t", "key").agg(F.collect_list("node").alias("n")).where(F.size("n") > 1).select("n")
+    spread = pivot_table(nodes).select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(max_bits)])).alias("t", "key"), "first", "fp", "c0", "c1")
+    least = max(HOT_LEAST, int(nodes.count() * HOT))
+    # At most 1 / HOT meetings for each mask.
+    hot = spread.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > least).select("t", "key", F.lit(True).alias("hot"))
+    spread = spread.join(F.broadcast(hot), ["t", "key"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    spread = spread.select("t", "key", F.explode(_cells(max_bits)).alias("cell"), "first", "fp", "c0", "c1", F.col("c0").bitwiseAND(F.lit(255)).alias("d"))
+    met = spread.repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell", "d").drop("d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # columns of the meeting that the next batch may go on with
+
+        def links(rows: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
+            coords = np.stack(rows[5:7], axis=1).view(np.uint8).reshape(-1, PIVOTS).astype(np.int16)
+            a, b = meeting_links(starts, rows[3], rows[4].view(np.uint64), coords, max_bits)
+            return pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+
         for batch in batches:
-            lists = batch.column(0)
-            at, rows = lists.offsets.to_numpy(), lists.values
-            first, fp, c0, c1 = (np.asarray(rows.field(i)) for i in range(4))
-            fp = fp.view(np.uint64)
-            coords = np.stack([c0, c1], axis=1).view(np.uint8).reshape(len(fp), PIVOTS).astype(np.int16)
-            found = [stars(first[x:y], fp[x:y], coords[x:y], max_bits) for x, y in zip(at, at[1:], strict=False)]
-            yield pa.record_batch({"a": pa.array(np.concatenate([f[0] for f in found])), "b": pa.array(np.concatenate([f[1] for f in found]))})
+            if not batch.num_rows:
+                continue
+            rows = [np.concatenate((h, c)) for h, c in zip(held, batch.columns, strict=True)] if held else [np.asarray(c) for c in batch.columns]
+            new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in rows[:3]], axis=0)))
+            starts = np.flatnonzero(new)
+            cut = starts[-1]
+            if cut:
+                yield links([c[:cut] for c in rows], starts[:-1])
+            held = [c[cut:] for c in rows]
+        if held:
+            yield links(held, np.zeros(1, np.int64))
 
     return met.mapInArrow(run, "a long, b long").distinct()
 
@@ -159,10 +217,10 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, max_bits: int = 3) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links of ``max_bits`` or fewer bits)."""
     prints = materialise(fingerprints(docs, text, doc_id, words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     labels = components(star_links(nodes.where("first is not null"), max_bits))
     named = nodes.join(labels.withColumnRenamed("id", "first"), "first", "left").select("fp", F.coalesce("label", "first").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return join_unique(prints, materialise(named, "named-fingerprints"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op10(docs: DataFrame) -> DataFrame:
