@@ -60,3 +60,22 @@ def test_multikey_order():
     r = np.random.default_rng(1)
     words = r.integers(0, 3, (500, 5)).astype(np.uint64)
     assert [tuple(x) for x in words[suffixes.multikey_order(words)]] == sorted(map(tuple, words))
+    wide = r.integers(0, 4, (30000, 7)).astype(np.uint64)
+    wide[::3] = wide[0]
+    assert [tuple(x) for x in wide[suffixes.multikey_order(wide)]] == sorted(map(tuple, wide))
+
+
+def test_windows_of_one_prefix_lie_on_both_sides_of_a_boundary(spark, monkeypatch):
+    """So many splitters that suffixes with the same 16 leading bytes go to several buckets."""
+    monkeypatch.setattr(suffixes, "CHUNK", 256)
+    monkeypatch.setattr(suffixes, "SUFFIX_BUCKET", 64)
+    r = random.Random(8)
+    rows = [(i, "the very same sixteen bytes and more " * r.randrange(1, 4) + "".join(r.choice("xyz") for _ in range(r.randrange(40)))) for i in range(120)]
+    assert result(spark, rows) == brute(rows)
+    suffix = np.frombuffer(b"".join(b"a" * 20 + bytes([98 + i % 5]) * 30 for i in range(50)), np.uint8).reshape(50, 50)
+    splitters = np.array([b"a" * 20 + b"c" * 30, b"a" * 20 + b"e" * 30], "S50")
+    row, bucket, bits = suffixes.destinations(suffix, np.full(50, (1 << 35) - 1, np.uint64), splitters)
+    assert set(bucket.tolist()) == {0, 1, 2} and (np.diff(bucket) >= 0).all()
+    total = np.zeros(50, np.uint64)
+    np.add.at(total, row, bits)
+    assert (total == (1 << 35) - 1).all()

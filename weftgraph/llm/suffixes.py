@@ -9,11 +9,14 @@ over every byte of the corpus would multiply it by the suffix length, so the arr
   bit a value: does any other document have it? This only filters, so collisions cost work but no result. A window goes
   on if its anchor is shared.
 * Suffixes. For each such anchor, its suffix (``width`` bytes) and the bytes before it travel to the bucket that sampled
-  splitters give for the suffix's leading bytes. Windows that repeat inside a chunk are decided there, so a passage that
-  very many documents share sends about one suffix a chunk.
+  splitters give for the suffix. Windows that repeat inside a chunk are decided there, so a passage that very many documents
+  share sends about one suffix a chunk.
+* Boundaries. Splitters are whole suffixes, so a range of very many suffixes with the same leading bytes is cut as finely as
+  these differ at all. A window is compared in the bucket where the part of the suffix that lies inside the window would
+  sort first: equal windows agree there, and a suffix whose windows belong to several buckets goes to each of them, with its
+  share of the windows.
 * Sorting. A bucket sorts suffixes by multikey quicksort on 8-byte words, likewise the reversed left contexts, and reads
   classes of equal windows off the two arrays of common prefixes; a window is removed if its class has a smaller id.
-  Splitters are whole words that suffixes of equal windows share, so no class crosses the boundary of two buckets.
 
 Chunks grow with the root of the corpus, which balances the number and the size of the messages between them.
 
@@ -42,6 +45,8 @@ CHUNK, HASH_BUCKET, SUFFIX_BUCKET, SAMPLE = 4 << 20, 16 << 20, 8 << 20, 4 << 20
 CHUNKS = 64
 #: Bytes that anchors are found in at once.
 PIECE = 1 << 19
+#: Rows from which a range of suffixes is partitioned; smaller ones are sorted word by word.
+LEAF = 4096
 OUTSIDE = 0xFF  # a byte that UTF-8 never has
 
 
@@ -165,8 +170,8 @@ class ChunkAnchors:
             yield int(self.bucket[a]), a, b
 
 
-def multikey_order(words: np.ndarray) -> np.ndarray:
-    """Order of the rows by their words; each pass sorts only the rows that all earlier words leave tied."""
+def _leaf_order(words: np.ndarray) -> np.ndarray:
+    """Order of a few rows by their words; each pass sorts only the rows that all earlier words leave tied."""
     order = np.argsort(words[:, 0], kind="stable")
     tied = np.zeros(len(words), bool)
     if len(words) > 1:
@@ -186,6 +191,28 @@ def multikey_order(words: np.ndarray) -> np.ndarray:
     return order
 
 
+def multikey_order(words: np.ndarray) -> np.ndarray:
+    """Order of the rows by their words: multikey quicksort. A range is partitioned by one word into the rows below, at and
+    above a pivot; those at it go on with the next word."""
+    order, todo = np.arange(len(words)), [(0, len(words), 0)]
+    while todo:
+        a, b, d = todo.pop()
+        if b - a < 2 or d == words.shape[1]:
+            continue
+        rows = order[a:b]
+        if b - a <= LEAF:
+            order[a:b] = rows[_leaf_order(words[rows, d:])]
+            continue
+        key = words[rows, d]
+        some = np.sort(key[:: len(key) // 63])
+        pivot = some[len(some) // 2]
+        below, at = key < pivot, key == pivot
+        low, high = a + int(below.sum()), b - int((key > pivot).sum())
+        order[a:b] = np.concatenate((rows[below], rows[at], rows[key > pivot]))
+        todo += [(a, low, d), (low, high, d + 1), (high, b, d)]
+    return order
+
+
 def _words(chars: np.ndarray) -> np.ndarray:
     wide = np.zeros((len(chars), -(-chars.shape[1] // 8) * 8), np.uint8)
     wide[:, : chars.shape[1]] = chars
@@ -259,18 +286,48 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(_expanded(blob), "<u8").reshape(3, -1)
 
 
+def _strings(chars: np.ndarray, length: int | None = None, fill: int = 0) -> np.ndarray:
+    """Rows as byte strings; from ``length`` on they are filled up."""
+    own = np.ascontiguousarray(chars) if length is None else chars.copy()
+    if length is not None:
+        own[:, length:] = fill
+    return own.view(f"S{own.shape[1]}").ravel()
+
+
+def destinations(suffixes: np.ndarray, masks: np.ndarray, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and windows (bits of the row's mask) for each bucket that a suffix goes to, ordered by bucket."""
+    width = suffixes.shape[1]
+    if not len(masks):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    place = lambda length, fill, rows=slice(None): np.searchsorted(splitters, _strings(suffixes[rows], length, fill), side="right")
+    low = place(GRAM, 0)
+    apart = np.flatnonzero(low != place(GRAM, 0xFF))
+    alone = np.setdiff1d(np.arange(len(masks)), apart, assume_unique=True)
+    rows, buckets, bits = [alone], [low[alone]], [masks[alone]]
+    for j in range(width - GRAM + 1):
+        own = apart[(masks[apart] >> np.uint64(j)) & np.uint64(1) == 1]
+        rows.append(own)
+        buckets.append(place(width - j, 0, own))
+        bits.append(np.full(len(own), 1 << j, np.uint64))
+    row, bucket, bit = np.concatenate(rows), np.concatenate(buckets), np.concatenate(bits)
+    order = np.lexsort((row, bucket))
+    row, bucket, bit = row[order], bucket[order], bit[order]
+    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0))
+    return row[first], bucket[first], np.bitwise_or.reduceat(bit, first)
+
+
 def sampled_splitters(own: DataFrame, total: int, buckets: int, width: int) -> np.ndarray:
-    """Leading words of sampled anchors that cut them into ``buckets`` like parts; a sample of at most about SAMPLE bytes."""
+    """Suffixes of sampled anchors that cut them into ``buckets`` like parts; a sample of at most about SAMPLE bytes of text."""
     share = min(1.0, SAMPLE / max(1, total))
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             a = Anchors(batch.column(0).to_pylist(), width)
-            yield pa.record_batch({"words": pa.array([_words(a.contexts(np.arange(len(a.at)))[:, width - GRAM : width - GRAM + 8])[:, 0].tobytes()], pa.binary())})
+            yield pa.record_batch({"suffixes": pa.array([a.contexts(np.arange(len(a.at)))[:, width - GRAM :].tobytes()], pa.binary())})
 
     sample = own.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("data")
-    words = np.sort(np.frombuffer(b"".join(bytes(r.words) for r in sample.mapInArrow(leading, "words binary").collect()), np.uint64))
-    return np.unique(words[np.arange(1, buckets) * len(words) // buckets]) if len(words) else words
+    found = np.sort(np.frombuffer(b"".join(bytes(r.suffixes) for r in sample.mapInArrow(leading, "suffixes binary").collect()), f"S{width}"))
+    return np.unique(found[np.arange(1, buckets) * len(found) // buckets]) if len(found) else found
 
 
 def removal(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -282,7 +339,8 @@ def removal(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str
     chunks, hash_buckets = max(CHUNKS, -(-total // side)), max(16, -(-total // max(HASH_BUCKET, side)))
     parts = max(16, -(-total // max(SUFFIX_BUCKET, side)))
     all_rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")).withColumn("row", F.xxhash64("doc_id", "data"))
-    splitters = sampled_splitters(all_rows.where("doc_id is not null"), total, parts, width)
+    # At most SAMPLE / 18 suffixes, whatever the corpus.
+    splitters = docs.sparkSession.sparkContext.broadcast(sampled_splitters(all_rows.where("doc_id is not null"), total, parts, width))
     laid = all_rows.withColumn("chunk", F.pmod("row", F.lit(chunks))).repartition(min(chunks, parts * 4), "chunk")
     ided = lambda t: t.filter(pc.is_valid(t.column("doc_id")))
 
@@ -331,18 +389,16 @@ def removal(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str
             local = repeats(contexts, ids, masks, width)
             hits, rest = np.flatnonzero(local), masks & ~local
             if len(hits):
-                out["bucket"].append(key[0].as_py() % (len(splitters) + 1))
+                out["bucket"].append(key[0].as_py() % (len(splitters.value) + 1))
                 out["found"].append(_packed(rows[hits], at[hits], local[hits]))
                 out["sent"].append(None)
             left = np.flatnonzero(rest)
-            word = _words(contexts[left][:, width - GRAM : width - GRAM + 8])[:, 0] if len(left) else np.zeros(0, np.uint64)
-            bucket = np.searchsorted(splitters, word, side="right")
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(left) else []
+            row, bucket, share = destinations(contexts[left][:, width - GRAM :], rest[left], splitters.value)
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(left) else []
             for x, y in zip(cuts, cuts[1:], strict=False):
-                pick = left[order[x:y]]
-                out["bucket"].append(int(bucket[order[x]]))
-                out["found"].append(_packed(rows[pick], at[pick], rest[pick]))
+                pick = left[row[x:y]]
+                out["bucket"].append(int(bucket[x]))
+                out["found"].append(_packed(rows[pick], at[pick], share[x:y]))
                 out["sent"].append(_squeezed(ids[pick].astype("<i8").tobytes() + contexts[pick].tobytes()))
             out["chunk"] = [key[0].as_py()] * len(out["bucket"])
         return pa.table({"bucket": pa.array(out["bucket"], pa.int64()), "chunk": pa.array(out["chunk"], pa.int64()), "found": pa.array(out["found"], pa.binary()), "sent": pa.array(out["sent"], pa.binary())})
@@ -390,9 +446,9 @@ def removal(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str
         return pa.table({"doc_id": out["doc_id"], "n_bytes": pa.array(out["n_bytes"], pa.int64()), "spans": pa.array(out["spans"], pa.list_(pa.list_(pa.int64()))), "kept": pa.array(out["kept"], pa.binary())})
 
     by_chunk = lambda df: df.groupBy("chunk")
-    shared = by_chunk(laid).applyInArrow(sketch, "bucket long, chunk long, values binary, many binary").groupBy("bucket").applyInArrow(share_out, "chunk long, bucket long, bits binary")
+    shared = by_chunk(laid).applyInArrow(sketch, "bucket long, chunk long, values binary, many binary").repartition(hash_buckets, "bucket").groupBy("bucket").applyInArrow(share_out, "chunk long, bucket long, bits binary")
     sent = by_chunk(laid).cogroup(by_chunk(shared)).applyInArrow(suffixes, "bucket long, chunk long, found binary, sent binary")
-    found = sent.groupBy("bucket").applyInArrow(compare, "chunk long, found binary")
+    found = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(compare, "chunk long, found binary")
     return by_chunk(laid).cogroup(by_chunk(found)).applyInArrow(remove, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
 
 
