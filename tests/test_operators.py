@@ -151,7 +151,7 @@ def test_empty_graphs_give_empty_results(spark):
 
 
 def test_shift_register_and_dead_cells(spark):
-    regs = spark.createDataFrame([("s", [9, 1, 2], [1, 2, 3]), ("p", [7, 8], [5, 6])], "cell string, d array<long>, q array<long>")
+    regs = spark.createDataFrame([("s", "$dff", [9, 1, 2], [1, 2, 3]), ("p", "$dff", [7, 8], [5, 6]), ("m", "$mux", [9, 1, 2], [1, 2, 3])], "cell string, type string, d array<long>, q array<long>")
     assert [tuple(r) for r in connect.shift_register_stages(regs).collect()] == [("s", 3)]
     cells = spark.createDataFrame([("dead", "$logic_not", True, False), ("read", "$logic_not", True, False), ("kept", "$logic_not", False, False)], "cell string, type string, hidden boolean, has_source boolean")
     outputs = spark.createDataFrame([("dead", 1), ("read", 2), ("kept", 3)], "cell string, wire long")
@@ -186,6 +186,13 @@ def test_matching_lines_are_a_longest_common_subsequence(a, b):
     assert len(pairs) == best[-1][-1]
 
 
+def test_a_pair_beyond_the_edit_limit_is_named(spark):
+    pairs = spark.createDataFrame([("a", "1\n2\n3", "1\n3"), ("b", "x\ny", "u\nv"), ("c", "q", "q")], "key string, ref_text string, cand_text string")
+    found = {tuple(r) for r in provenance.mapped_lines(pairs, 2).collect()}
+    assert found == {("a", 1, 1, "mapped"), ("a", 3, 2, "mapped"), ("b", None, None, "limit"), ("c", 1, 1, "mapped")}
+    assert matching_lines(["a"] * 3000 + ["b"] * 3000, ["b"] * 3000 + ["a"] * 3000) is not None
+
+
 def test_sessions_stream(spark, tmp_path):
     at = lambda m: dt.datetime(2024, 1, 1, 0, m)
     rows = [("a", "queued", at(0)), ("a", "building", at(1)), ("a", "ready", at(2)), ("b", "building", at(1)), ("c", "building", at(1)), ("c", "building", at(3))]

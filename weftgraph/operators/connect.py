@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions import scalars
 from weftgraph.schema import LIMITS
 
 
@@ -61,8 +62,30 @@ def split_port(df: DataFrame, bits: str, by: str) -> DataFrame:
 
 
 def shift_register_stages(regs: DataFrame) -> DataFrame:
-    """cell, stages of registers (cell, d, q: arrays of wires) whose D reads a bit of their own Q at another place."""
-    d = regs.select("cell", F.posexplode("d").alias("pos", "wire"))
-    q = regs.select("cell", F.posexplode("q").alias("qpos", "wire"))
+    """cell, stages of registers (cell, type, d, q: arrays of wires, null for constant bits) of more than one bit, as many in D as
+    in Q, whose D reads a bit of their own Q at another place."""
+    wide = regs.where((scalars.cell_kind(F.col("type")) == "register") & (F.size("d") > 1) & (F.size("d") == F.size("q")))
+    d = wide.select("cell", F.posexplode("d").alias("pos", "wire"))
+    q = wide.select("cell", F.posexplode("q").alias("qpos", "wire"))
     own = d.join(q, ["cell", "wire"]).where("pos <> qpos").select("cell").distinct()
-    return regs.join(own, "cell", "left_semi").select("cell", F.size("q").alias("stages"))
+    return wide.join(own, "cell", "left_semi").select("cell", F.size("q").alias("stages"))
+
+
+def stage_parameters(parameters: Column, stage: Column, stages: Column) -> Column:
+    """Parameters (a map of strings) of one stage of a split register: a width of one, and the stage's own reset bit."""
+
+    def one(name: Column, value: Column) -> Column:
+        narrow = F.when(F.rlike(value, F.lit("^[01]+$")), F.lpad(F.lit("1"), F.length(value), F.lit("0"))).otherwise(F.lit("1"))
+        bits = (F.length(value) == stages) & F.rlike(value, F.lit("^[01xzXZ]+$"))
+        return F.when(name == "WIDTH", narrow).when(name.isin("ARST_VALUE", "SRST_VALUE") & bits, F.substring(value, stages - stage, F.lit(1))).otherwise(value)
+
+    return F.transform_values(parameters, one)
+
+
+def split_registers(regs: DataFrame) -> DataFrame:
+    """cell, stage, d, q, parameters: shift registers (cell, type, d, q, parameters) as one row a bit, all others as they are
+    with a null stage."""
+    found = regs.join(shift_register_stages(regs), "cell", "left")
+    whole = found.where("stages is null").select("cell", F.lit(None).cast("int").alias("stage"), "d", "q", "parameters")
+    bits = found.where("stages is not null").select("cell", "stages", "parameters", F.posexplode(F.arrays_zip("d", "q")).alias("stage", "x"))
+    return whole.union(bits.select("cell", "stage", F.array("x.d"), F.array("x.q"), stage_parameters(F.col("parameters"), F.col("stage"), F.col("stages"))))

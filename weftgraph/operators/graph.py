@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 from weftgraph.session import materialise
 
 
-def select_slice(modules: DataFrame, request: DataFrame) -> DataFrame:
-    """request, module_id: by module id, else instance path, else name, else the first top, for requests (request, wanted)."""
-    ranks = [("module_id", 0), ("instance_path", 1), ("name", 2)]
-    hits = [request.join(modules.select("module_id", F.col(c).alias("wanted")), "wanted").select("request", F.lit(k).alias("rank"), "module_id") for c, k in ranks]
-    tops = request.select("request", F.lit(3).alias("rank")).join(modules.where("is_top").agg(F.min("module_id").alias("module_id")))  # one row
-    best = Window.partitionBy("request").orderBy("rank", "module_id")
-    return reduce(DataFrame.union, [*hits, tops]).withColumn("n", F.row_number().over(best)).where("n = 1").select("request", "module_id", "rank")
+def select_slice(modules: DataFrame, requests: DataFrame) -> DataFrame:
+    """request, module_id of requests (request, module_id, instance_path, module_name).
+
+    A module id that is given decides alone, also where it misses. Else the instance path decides if it hits, else the
+    module name if one is given, else the first top.
+    """
+    by = lambda df, column, on, rank: df.select("request", F.col(column).alias(on)).join(modules.select(F.col("module_id").alias("found"), F.col(on)), on).select("request", F.lit(rank).alias("rank"), "found")
+    open_ = requests.where("module_id is null")
+    tops = modules.where("is_top").agg(F.min("module_id").alias("found"))  # one row
+    hits = [
+        requests.where("module_id is not null").select("request", F.col("module_id").alias("wanted")).join(modules.select(F.col("module_id").alias("found")), F.col("wanted") == F.col("found")).select("request", F.lit(0).alias("rank"), "found"),
+        by(open_.where("instance_path is not null"), "instance_path", "instance_path", 1),
+        by(open_.where("module_name is not null"), "module_name", "name", 2),
+        open_.where("module_name is null").select("request", F.lit(3).alias("rank")).join(tops).select("request", "rank", "found"),
+    ]
+    return reduce(DataFrame.union, hits).groupBy("request").agg(F.min(F.struct("rank", "found")).alias("x")).select("request", F.col("x.found").alias("module_id"), F.col("x.rank").alias("rank"))
 
 
 def definition_lookup(wanted: DataFrame, modules: DataFrame) -> DataFrame:

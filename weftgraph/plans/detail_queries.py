@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars
-from weftgraph.operators import connect, diff, matching, presentation, provenance
+from weftgraph.operators import fuzzy, connect, diff, matching, presentation, provenance
 from weftgraph.plans.registry import query
 from weftgraph.plans.scalar_queries import _pick, _pick_sql
 from weftgraph.streaming import sessions
@@ -92,13 +92,44 @@ def dead_cells(x):
     return connect.dead_cells(cells, read, x.raw("part").select(k.alias("cell"), (k * 10).alias("wire"))).select(F.col("cell").alias("id"))
 
 
-@query("SELECT p_partkey AS cell, 4 AS stages FROM part WHERE p_partkey % 5 IN (1, 2)", view=False)
-def shift_registers(x):
+def _registers(x):
     k = F.col("p_partkey")
     q = F.array(k * 10, k * 10 + 1, k * 10 + 2, k * 10 + 3)
-    # Remainders 1 and 2 read own bits at another place, 3 at the same place, the rest none.
+    # Remainders 1 and 2 read own bits at another place, 3 at the same place, the rest none; 7 has no register, 11 unequal lengths.
     d = F.when(k % 5 == 1, F.array(-k - 1, k * 10, k * 10 + 1, k * 10 + 2)).when(k % 5 == 2, F.array(k * 10 + 3, -k - 1, -k - 1, -k - 1)).when(k % 5 == 3, q).otherwise(F.array(-k - 1, -k - 1, -k - 1, -k - 1))
-    return connect.shift_register_stages(x.raw("part").select(k.alias("cell"), d.alias("d"), q.alias("q")))
+    parameters = F.create_map(F.lit("WIDTH"), F.when(k % 2 == 0, "00000100").otherwise("4"), F.lit("ARST_VALUE"), F.when(k % 3 == 0, "01xz").otherwise("0101010"))
+    return x.raw("part").select(k.alias("cell"), F.when(k % 7 == 0, "$add").otherwise("$adff").alias("type"), F.when(k % 11 == 0, F.slice(d, 1, 3)).otherwise(d).alias("d"), q.alias("q"), parameters.alias("parameters"))
+
+
+@query("SELECT p_partkey AS cell, 4 AS stages FROM part WHERE p_partkey % 5 IN (1, 2) AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0", view=False)
+def shift_registers(x):
+    return connect.shift_register_stages(_registers(x))
+
+
+@query("""SELECT p_partkey AS cell, CAST(s AS INTEGER) AS stage, p_partkey * 10 + s AS q, CASE WHEN p_partkey % 2 = 0 THEN '00000001' ELSE '1' END AS width, CASE WHEN p_partkey % 3 = 0 THEN substring('01xz', 4 - s, 1) ELSE '0101010' END AS reset
+ FROM part, range(4) t(s) WHERE p_partkey % 5 IN (1, 2) AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 UNION ALL SELECT p_partkey, NULL, p_partkey * 10, CASE WHEN p_partkey % 2 = 0 THEN '00000100' ELSE '4' END, CASE WHEN p_partkey % 3 = 0 THEN '01xz' ELSE '0101010' END
+ FROM part WHERE NOT (p_partkey % 5 IN (1, 2) AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0)""", view=False)
+def split_registers(x):
+    return connect.split_registers(_registers(x)).select("cell", "stage", F.col("q")[0].alias("q"), F.col("parameters")["WIDTH"].alias("width"), F.col("parameters")["ARST_VALUE"].alias("reset"))
+
+
+@query("""SELECT token, CASE WHEN state = 'building' THEN CASE WHEN tries <= 1 THEN 'queued' ELSE 'failed' END ELSE state END AS state FROM (SELECT user_id AS token, arg_max(s, (ts, s)) AS state, count(*) FILTER (s = 'building') AS tries FROM (SELECT *, (['queued', 'building', 'ready', 'failed'])[event_id % 4 + 1] AS s FROM events) GROUP BY user_id)""", view=False)
+def recovered_sessions(x):
+    e = x.raw("events").select(F.col("user_id").alias("token"), _pick(sessions.STATES, "event_id").alias("state"), "ts")
+    return sessions.recovered(sessions.current(e)).select("token", "state")
+
+
+@query("""SELECT token FROM (SELECT user_id AS token, arg_max(s, (ts, s)) AS state, max(ts) AS since FROM (SELECT *, (['queued', 'building', 'ready', 'failed'])[event_id % 4 + 1] AS s FROM events) GROUP BY user_id) WHERE state IN ('ready', 'failed') AND since + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)""", view=False)
+def expired_sessions(x):
+    e = x.raw("events").select(F.col("user_id").alias("token"), _pick(sessions.STATES, "event_id").alias("state"), "ts")
+    now = x.raw("events").agg(F.max("ts").alias("now"))  # one row
+    return sessions.expired(sessions.current(e).join(now), F.col("now"), 86_400).select("token")
+
+
+@query()
+def heuristic_matches(x):
+    r, c = x.graph("ref"), x.graph("cand")
+    return fuzzy.heuristic(r, c, matching.conservative(r, c, x.line_map()), x.line_map()).select("scope", "ref_id", "cand_id", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT id, round(CASE WHEN u = 0 THEN 1 ELSE s / u END, 6)::DOUBLE AS score FROM

@@ -83,7 +83,8 @@ class Fixture:
         cand, nodes = side == "cand", self.cand_nodes() if side == "cand" else self.ref_nodes()
         part, own_id = self._key("id", "part:"), F.regexp_replace("id", "^v2-", "").alias("own")
         nodes = nodes.select("*", part.alias("p"), own_id).withColumns({"c": self._key("own", "customer:"), "s": self._key("id", "supplier:")})
-        glyph = F.element_at(F.array(*map(F.lit, ("+", "−", "&", "|"))), (F.col("p") % 4 + 1).cast("int"))
+        # The guard is needed: the element at a null place of a literal array is not null everywhere.
+        glyph = F.when(F.col("p").isNotNull(), F.element_at(F.array(*map(F.lit, ("+", "−", "&", "|"))), (F.col("p") % 4 + 1).cast("int")))
         width = F.col("c") % 7 + (F.when(F.col("c") % 12 == 5, 1).otherwise(0) if cand else 0)
         label = F.when(F.col("s") % 8 == 5, F.concat(F.lit("S"), F.col("s"))).otherwise(F.col("label")) if cand else F.col("label")
         top = nodes.select(
@@ -235,7 +236,8 @@ edge_paired AS MATERIALIZED (SELECT coalesce(r.scope, c.scope) AS scope, r.id AS
 
 
 def with_modules(body: str) -> str:
-    return f"WITH RECURSIVE {CTES.rstrip()}{MODULES}\n{body}"
+    own = body.lstrip().removeprefix("WITH ")
+    return f"WITH RECURSIVE {CTES.rstrip()}{MODULES}{', ' if own != body.lstrip() else ''}\n{own}"
 
 
 def with_view(body: str) -> str:

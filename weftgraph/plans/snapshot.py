@@ -32,12 +32,17 @@ def snapshot_counts(x):
 _MODULES = "SELECT concat('nation:', n_nationkey) AS module_id, n_name AS name, concat(r_name, '.', n_name) AS path FROM nation JOIN region ON n_regionkey = r_regionkey"
 
 
-@query(f"""WITH m AS ({_MODULES}), w AS (SELECT module_id AS wanted FROM m WHERE module_id < 'nation:2' UNION ALL SELECT path FROM m UNION ALL SELECT name FROM m UNION ALL SELECT 'nothing')
-SELECT w.wanted, coalesce(min(a.module_id), min(b.module_id), min(c.module_id), (SELECT min(module_id) FROM m)) AS module_id FROM w LEFT JOIN m a ON a.module_id = w.wanted LEFT JOIN m b ON b.path = w.wanted LEFT JOIN m c ON c.name = w.wanted GROUP BY 1""", view=False)
+@query(f"""WITH m AS ({_MODULES}), w AS (SELECT module_id || ' id' AS request, module_id, 'nowhere' AS path, name FROM m UNION ALL SELECT name || ' gone', 'gone', path, name FROM m UNION ALL SELECT path || ' path', NULL, path, NULL FROM m
+ UNION ALL SELECT name || ' name', NULL, 'nowhere', name FROM m UNION ALL SELECT name || ' no name', NULL, 'nowhere', 'none' FROM m UNION ALL SELECT name || ' top', NULL, 'nowhere', NULL FROM m)
+SELECT w.request, coalesce(a.module_id, b.module_id, c.module_id, t.module_id) AS module_id FROM w LEFT JOIN m a ON a.module_id = w.module_id LEFT JOIN m b ON w.module_id IS NULL AND b.path = w.path LEFT JOIN m c ON w.module_id IS NULL AND c.name = w.name
+ LEFT JOIN (SELECT min(module_id) AS module_id FROM m) t ON w.module_id IS NULL AND w.name IS NULL WHERE coalesce(a.module_id, b.module_id, c.module_id, t.module_id) IS NOT NULL""", view=False)
 def select_slice(x):
     m = x.raw("nation").join(x.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("nation:"), "n_nationkey").alias("module_id"), F.col("n_name").alias("name"), F.concat_ws(".", "r_name", "n_name").alias("instance_path"), F.lit(True).alias("is_top"))
-    wanted = m.where("module_id < 'nation:2'").select("module_id").union(m.select("instance_path")).union(m.select("name")).union(m.select(F.lit("nothing")).limit(1)).toDF("wanted")
-    return graph.select_slice(m, wanted.withColumn("request", F.col("wanted"))).select(F.col("request").alias("wanted"), "module_id")
+    none, nowhere = F.lit(None).cast("string"), F.lit("nowhere")
+    ask = lambda key, word, i, p, n: m.select(F.concat(key, F.lit(f" {word}")).alias("request"), i.alias("module_id"), p.alias("instance_path"), n.alias("module_name"))
+    i, p, n = F.col("module_id"), F.col("instance_path"), F.col("name")
+    wanted = ask(i, "id", i, nowhere, n).union(ask(n, "gone", F.lit("gone"), p, n)).union(ask(p, "path", none, p, none)).union(ask(n, "name", none, nowhere, n)).union(ask(n, "no name", none, nowhere, F.lit("none"))).union(ask(n, "top", none, nowhere, none))
+    return graph.select_slice(m, wanted).select("request", "module_id")
 
 
 @query("""WITH m AS (SELECT c_name AS name, c_mktsegment AS d, concat('customer:', c_custkey) AS id FROM customer), w AS (SELECT DISTINCT d AS wanted FROM m UNION SELECT name FROM m WHERE id LIKE '%7')
