@@ -199,15 +199,18 @@ def components(links: DataFrame) -> DataFrame:
     """id, label (smallest id reachable over the links, itself included) of every linked id.
 
     Each round takes the smallest label among neighbours, then the label's own label; rounds grow with the logarithm of
-    a component's diameter. Every round is a table in the shared folder.
+    a component's diameter. Every round is a table in the shared folder; ids and labels that very many links share are joined
+    by broadcast.
     """
     links = materialise(links, "links")
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
+        near = join_unique(both, labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = step.join(step.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", "old", F.coalesce("up", "label").alias("label"))
+        step = materialise(step, "labels")
+        # A label is an id with links of its own.
+        jump = join_unique(step, step.select(F.col("id").alias("label"), F.col("label").alias("up")), "label").select("id", "old", F.col("up").alias("label"))
         jump = materialise(jump, "labels")
         if jump.where(F.col("old") != F.col("label")).isEmpty():
             return jump.select("id", "label")
