@@ -7,7 +7,8 @@ scalar they estimate the cosine. Errors stay, but for a chance that ``WIDENESS``
 WIDENESS * sqrt(1 - c * c) / (c * sqrt(bits - 1)) plus the quantisation error. In every block of rows the k-th largest
 lower bound decides: only vectors whose upper bound reaches it are measured exactly, in doubles, on the original vectors.
 
-All rows are indexed. The stated query set meets every block of rows, in blocks: rows are dealt by a hash of their id, so
+All rows are indexed. The stated query set meets every block of rows, in blocks of at most about ``ASK_ROWS`` queries, so a
+task holds one block of each: rows are dealt by a hash of their id, so
 a vector that very many rows share loads all blocks alike, and a block keeps the k + 1 smallest ids of equal vectors
 (no other can be among the k nearest).
 
@@ -32,6 +33,7 @@ PLANES = 6
 WIDENESS = 3.0
 SEED = 20
 BLOCK_ROWS = (4096, 262_144)  # least and most rows of a block
+ASK_ROWS = 65_536
 
 
 @functools.lru_cache(maxsize=4)
@@ -106,9 +108,15 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def _kind(rows: DataFrame, vector: str) -> str:
+    """Floats stay floats; any other numbers are measured as doubles."""
+    return "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def index(rows: DataFrame, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """vec_id, width, vector, code (packed words), scalar of every usable row."""
-    own = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
+    kind = _kind(rows, vector)
+    own = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("vector"))
     own = own.where(F.col("vec_id").isNotNull() & F.coalesce(_usable(F.col("vector")), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +129,7 @@ def index(rows: DataFrame, vector: str = "embedding", vec_id: str = "vec_id") ->
                 codes, scalars = encode(vectors)
                 yield pa.record_batch({"vec_id": part.column(0), "width": pa.array(np.full(len(vectors), width, np.int32)), "vector": part.column(1), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "scalar": pa.array(scalars)})
 
-    return own.mapInArrow(run, "vec_id long, width int, vector array<float>, code binary, scalar double")
+    return own.mapInArrow(run, f"vec_id long, width int, vector {kind}, code binary, scalar double")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = NEAREST, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
@@ -129,9 +137,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = NEAREST, vector: str =
     count = rows.count()
     blocks = max(16, -(-count // min(BLOCK_ROWS[1], max(BLOCK_ROWS[0], count // 256))))
     coded = index(rows, vector, vec_id).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    asked = queries.select(F.col(vec_id).cast("long").alias("query_id"), F.col(vector).cast("array<float>").alias("query"))
+    asked = queries.select(F.col(vec_id).cast("long").alias("query_id"), F.col(vector).cast(_kind(rows, vector)).alias("query"))
     asked = asked.where(F.col("query_id").isNotNull() & F.coalesce(_usable(F.col("query")), F.lit(False))).groupBy("query_id").agg(F.min("query").alias("query"))
-    asked = asked.select("query_id", "query", F.size("query").alias("width"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asks = max(1, -(-queries.count() // ASK_ROWS))
+    asked = asked.withColumn("ask", F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int"))
+    asked = asked.select("query_id", "query", F.size("query").alias("width"), "ask", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    coded = coded.withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
 
     def search(key: tuple, data: pa.Table, ask: pa.Table) -> pa.Table:
         width, found = key[0].as_py(), []
@@ -143,7 +154,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = NEAREST, vector: str =
         q, v, s = zip(*found, strict=True) if found else ((), (), ())
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    met = coded.groupBy("width", "block").cogroup(asked.groupBy("width", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+    met = coded.groupBy("width", "block", "ask").cogroup(asked.groupBy("width", "block", "ask")).applyInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

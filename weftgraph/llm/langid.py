@@ -6,16 +6,19 @@ windows each, from anywhere in the text); rows whose crc32(doc_id) mod 5 is 0, n
 learned from. Prediction covers every byte of every text: full windows side by side, the last one ending with the text.
 A text's probabilities are the mean of its windows'.
 
+A filtering stage rejects what is ``und`` and what scores below ``least``, which lies half-way between chance and the score
+that ``SURE`` of the rightly read sample texts reach.
+
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any labelled row every text is
-``und``; texts shorter than a window are padded.
+``und``, and a filtering stage keeps all texts with a letter; texts shorter than a window are padded; a null doc_id is never
+learned from and not held out.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,8 @@ PAD = 256
 SAMPLE_DOCS = 2400
 SAMPLE_WINDOWS = 4
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+SURE = 0.995
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +51,7 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 class LanguageModel:
     def __init__(self, languages: list[str], net: ConvText | None):
-        self.languages, self.net = languages, net
+        self.languages, self.net, self.least = languages, net, 0.0
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
@@ -89,7 +93,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     share = np.bincount(labels, minlength=len(languages)) / len(labels)
     net = ConvText([PAD], dim=6, widths=(2, 3, 4), filters=12, classes=len(languages))
     net.train(ids, first, labels, (1 / (len(languages) * share[labels])).astype(np.float32), epochs=3, rate=0.008)
-    return LanguageModel(languages, net)
+    model = LanguageModel(languages, net)
+    names, scores = model.predict([cuts[0] for _, _, cuts in rows])
+    right = [s for n, s, (_, name, _) in zip(names, scores, rows, strict=True) if n == name]
+    if right:
+        model.least = (1 / len(languages) + float(np.quantile(right, 1 - SURE))) / 2
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -103,15 +112,22 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", doc_id: s
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    return predict(docs, fit(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return predict(docs, fit(docs)).select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.0, text: str = "text") -> DataFrame:
-    """Rows whose language is determined, with all their columns."""
-    schema, at = docs.schema, docs.columns.index(text)
+def keep_known(docs: DataFrame, model: LanguageModel, least: float | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Rows whose language is determined with a score of ``least`` or more (the model's own, if none is given), with all their
+    columns; a null ``lang`` becomes the language found."""
+    schema, at, to = docs.schema, docs.columns.index(text), docs.columns.index(lang)
+    least = model.least if least is None else least
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, scores = model.predict(batch.column(at).to_pylist())
-        return batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores, strict=True)]))
+        texts = batch.column(at).to_pylist()
+        if not model.languages:
+            return batch.filter(pa.array([bool(t and LETTER.search(t)) for t in texts], pa.bool_()))
+        names, scores = model.predict(texts)
+        filled = pa.array([n if known is None else known for n, known in zip(names, batch.column(to).to_pylist(), strict=True)], batch.schema.field(to).type)
+        batch = batch.set_column(to, batch.schema.field(to), filled)
+        return batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
     return map_slices(docs, kernel, schema, rows=128)

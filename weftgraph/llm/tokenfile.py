@@ -99,15 +99,15 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces. Those without inner white space go many to a text, one a line: a line break is always a
         piece of its own, so its id separates their ids."""
-        lines = [p for p in pieces if self.line(p)]
-        some = [lines[at : at + LINES] for at in range(0, len(lines), LINES)]
-        for own, e in zip(some, self.library.encode_batch_fast(["\n".join(x) for x in some], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.kind)
-            cuts, raw, w = [-1, *np.flatnonzero(ids == self.line_break).tolist(), len(ids)], ids.tobytes(), self.width
+        lines, w = [p for p in pieces if self.line(p)], self.width
+        for at in range(0, len(lines), LINES):
+            own = lines[at : at + LINES]
+            ids = np.array(self._ids("\n".join(own)), self.kind)
+            cuts, raw = [-1, *np.flatnonzero(ids == self.line_break).tolist(), len(ids)], ids.tobytes()
             self.memo.update(zip(own, [raw[(a + 1) * w : b * w] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-        rest = [p for p in pieces if not self.line(p)]
-        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.memo[p] = np.array(e.ids, self.kind).tobytes()
+        for p in pieces:
+            if not self.line(p):
+                self.memo[p] = np.array(self._ids(p), self.kind).tobytes()
 
 
 _encoders: dict[int, PieceEncoder] = {}
@@ -132,12 +132,12 @@ def token_blocks(docs: DataFrame, path: str | None = None, text: str = "text", d
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model.value)
-        for batch in slices(batches):
+        for batch in slices(batches, 128):
             ids = encoder.encode(batch.column(1).to_pylist(), end)
             keys = np.array([-(2**63) if k is None else k for k in batch.column(0).to_pylist()], np.int64)
             yield pa.record_batch({"part": pa.array(np.searchsorted(cuts, keys, side="left").astype(np.int32)), "doc_id": batch.column(0), "ids": pa.array(ids, pa.binary())})
 
-    dealt = own.mapInArrow(encode, "part int, doc_id long, ids binary").repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
+    dealt = own.mapInArrow(encode, "part int, doc_id long, ids binary").repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
     width = _encoder(model.value).width
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
