@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.schema import LIMITS
 from weftgraph.session import materialise
 
 
@@ -153,13 +154,46 @@ def group_parents(children: DataFrame) -> DataFrame:
 
 
 def change_rollup(nodes: DataFrame, depth: int) -> DataFrame:
-    """id, state of every inner node: contains if it or any node below has changed, else none; bottom-up by level."""
-    pairs = nodes.select(F.col("id").alias("top"), "id", "changed")
-    out = pairs
-    level = pairs
+    """id, state of every inner node, bottom-up by level: contains if it or any node below has changed, else unknown if the change
+    of any of them is not known (null), else none."""
+    nodes = nodes.withColumn("code", F.when(F.col("changed").isNull(), 1).when(F.col("changed"), 2).otherwise(0))
+    level = nodes.select(F.col("id").alias("top"), "code")
+    out = level
     parents = nodes.select("id", "parent_id").where("parent_id is not null")
     for _ in range(depth):
-        level = level.join(parents.select(F.col("id").alias("top"), F.col("parent_id").alias("up")), "top").groupBy("up").agg(F.max("changed").alias("changed")).select(F.col("up").alias("top"), F.col("up").alias("id"), "changed")
+        level = level.join(parents.select(F.col("id").alias("top"), F.col("parent_id").alias("up")), "top").groupBy("up").agg(F.max("code").alias("code")).withColumnRenamed("up", "top")
         out = out.union(level)
     inner = parents.select(F.col("parent_id").alias("top")).distinct()
-    return out.join(inner, "top", "left_semi").groupBy("top").agg(F.max("changed").alias("c")).select(F.col("top").alias("id"), F.when(F.col("c"), "contains").otherwise("none").alias("state"))
+    found = out.join(inner, "top", "left_semi").groupBy("top").agg(F.max("code").alias("code"))
+    return found.select(F.col("top").alias("id"), F.when(F.col("code") == 2, "contains").when(F.col("code") == 1, "unknown").otherwise("none").alias("state"))
+
+
+def reachable_evidence(roots: DataFrame, children: DataFrame, evidence: DataFrame, most_pairs: int = LIMITS["hierarchy_pairs"], most_levels: int = LIMITS["hierarchy_depth"]) -> DataFrame:
+    """root, state of each root: found if its own or any definition below it (module, child) has evidence (module, state); else
+    unknown if any of these is unknown or missing from the evidence, or if there are more definitions below than ``most_pairs``
+    or levels than ``most_levels``; else absent.
+
+    Breadth first over distinct definitions, all roots in the same rounds; a root that has found evidence, or would exceed a
+    limit with its next level, goes no further. Each level is a table in the shared folder.
+    """
+    level = materialise(roots.select("root", F.col("root").alias("module")), "evidence-level")
+    seen, said = level, None
+    for _ in range(most_levels):
+        state = F.when(F.max(F.coalesce(F.col("state") == "found", F.lit(False))), 2).when(F.max(F.coalesce(F.col("state") != "absent", F.lit(True))), 1).otherwise(0)
+        own = level.join(evidence.select("module", "state"), "module", "left").groupBy("root").agg(state.alias("code"))
+        said = own if said is None else said.union(own)
+        said = materialise(said.groupBy("root").agg(F.max("code").alias("code")), "evidence-said")
+        going = level.join(said.where("code < 2").select("root"), "root", "left_semi")
+        nxt = going.join(children.select("module", "child"), "module").select("root", F.col("child").alias("module")).distinct().join(seen, ["root", "module"], "left_anti")
+        nxt = materialise(nxt, "evidence-level")
+        if nxt.isEmpty():
+            break
+        sizes = seen.union(nxt).groupBy("root").agg(F.count("*").alias("n"))
+        over = nxt.select("root").distinct().join(sizes.where(F.col("n") > most_pairs).select("root"), "root", "left_semi")
+        said = materialise(said.union(over.select("root", F.lit(1))), "evidence-said")
+        level = materialise(nxt.join(over, "root", "left_anti"), "evidence-level")
+        seen = materialise(seen.union(level), "evidence-seen")
+    else:
+        said = said.union(level.select("root", F.lit(1)).distinct())
+    last = said.groupBy("root").agg(F.max("code").alias("code"))
+    return last.select("root", F.when(F.col("code") == 2, "found").when(F.col("code") == 1, "unknown").otherwise("absent").alias("state"))

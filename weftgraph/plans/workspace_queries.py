@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.functions import ids, scalars
-from weftgraph.operators import fuzzy, workspace
+from weftgraph.functions import display, ids, scalars
+from weftgraph.operators import fuzzy, graph, workspace
 from weftgraph.plans.compare import _paired
 from weftgraph.plans.registry import query
 
@@ -189,3 +189,44 @@ def port_and_width_scores(x):
     score = scalars.port_score(text("a", pair), text("b", pair), text("a", token), text("b", token))
     wide = scalars.width_score(F.lit("{}"), F.when(k % 2 == 0, "{}").otherwise('{"W":1}'), text("a", width), text("b", width))
     return rows.withColumn("p_partkey", F.col("id")).select("id", F.round(score, 6).alias("ports"), F.round(wide, 6).alias("widths"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT id, parent_id, CASE WHEN id LIKE 'order:%' THEN CASE k % 90 WHEN 4 THEN 1 WHEN 5 THEN 2 ELSE 0 END ELSE 0 END AS code FROM (SELECT id, parent_id, CAST(string_split(id, ':')[2] AS BIGINT) AS k FROM ref_nodes)),
+up AS (SELECT id AS top, code FROM c UNION ALL SELECT c.parent_id, up.code FROM up JOIN c ON c.id = up.top WHERE c.parent_id IS NOT NULL)
+SELECT top AS id, CASE max(code) WHEN 2 THEN 'contains' WHEN 1 THEN 'unknown' ELSE 'none' END AS state FROM up WHERE top IN (SELECT parent_id FROM ref_nodes WHERE parent_id IS NOT NULL) GROUP BY 1""")
+def hierarchy_unknown(x):
+    k = F.element_at(F.split("id", ":"), 2).cast("long") % 90
+    order = F.col("id").startswith("order:")
+    changed = F.when(order & (k == 4), F.lit(None).cast("boolean")).otherwise(order & (k == 5))
+    return graph.change_rollup(x.ref_nodes().withColumn("changed", changed), 4)
+
+
+@query("""WITH e AS (SELECT n_nationkey AS r, c_custkey % 97 = 5 AS f, c_custkey % 31 = 7 AS u FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey UNION ALL SELECT c_nationkey, o_orderkey % 997 = 3, o_orderkey % 499 = 9 FROM customer JOIN orders ON o_custkey = c_custkey),
+n AS (SELECT r, count(*) AS n, bool_or(f) AS f, bool_or(u) AS u FROM e GROUP BY r), c AS (SELECT n_nationkey AS r, count(c_custkey) AS n, coalesce(bool_or(c_custkey % 97 = 5), false) AS f FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT r AS root, CASE WHEN c.f AND c.n + 1 <= 512 THEN 'found' WHEN c.n + 1 > 512 THEN 'unknown' WHEN n.n + 1 > 512 THEN 'unknown' WHEN n.f THEN 'found' WHEN n.u THEN 'unknown' ELSE 'absent' END AS state FROM c JOIN n USING (r)""", view=False)
+def reachable_evidence(x):
+    name = lambda t, k: F.concat(F.lit(f"{t}:"), F.col(k))
+    roots = x.raw("nation").select(name("n", "n_nationkey").alias("root"))
+    children = x.raw("customer").select(name("n", "c_nationkey").alias("module"), name("c", "c_custkey").alias("child")).union(x.raw("orders").select(name("c", "o_custkey"), name("o", "o_orderkey")))
+    state = lambda found, unknown: F.when(found, "found").when(unknown, "unknown").otherwise("absent").alias("state")
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    evidence = x.raw("nation").select(name("n", "n_nationkey").alias("module"), F.lit("absent").alias("state")).union(x.raw("customer").select(name("c", "c_custkey"), state(c % 97 == 5, c % 31 == 7))).union(x.raw("orders").select(name("o", "o_orderkey"), state(o % 997 == 3, o % 499 == 9)))
+    return graph.reachable_evidence(roots, children, evidence).select(F.split("root", ":")[1].cast("int").alias("root"), "state")
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN '2a' WHEN 2 THEN concat('{"a":[', p_size, ',"x"]}') WHEN 3 THEN 'true' ELSE 'null' END AS shown FROM part""", view=False)
+def formatted_values(x):
+    z, k = F.col("p_size"), F.col("p_partkey")
+    text = F.when(k % 5 == 0, F.concat(F.lit('"'), F.bin("p_size"), F.lit('"'))).when(k % 5 == 1, F.lit('"2a"')).when(k % 5 == 2, F.concat(F.lit('{"a": ['), z, F.lit(', "x"]}'))).when(k % 5 == 3, F.lit("true")).otherwise(F.lit("null"))
+    return x.raw("part").select(k.alias("id"), display.format_json(text).alias("shown"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'assign' WHEN 1 THEN 'e' WHEN 2 THEN '<<' ELSE concat('net', p_partkey) END AS token FROM part""", view=False)
+def source_tokens(x):
+    k = F.col("p_partkey")
+    # assign netK = b << 2; selected: the first word, a letter of the name, the operator, the end of the name.
+    text = F.concat(F.lit("// head\n  ASSIGN net"), k, F.lit("    b << 2;"))
+    at = lambda *v: F.when(k % 4 == 0, v[0]).when(k % 4 == 1, v[1]).when(k % 4 == 2, v[2]).otherwise(v[3])
+    end = F.lit(13) + F.length(k.cast("string"))
+    start = at(F.lit(3), F.lit(11), end + 6, end)
+    return x.raw("part").select(k.alias("id"), display.source_token(text, F.lit(2), start.cast("int"), F.lit(2), at(F.lit(9), F.lit(11), end + 8, end).cast("int")).alias("token"))
