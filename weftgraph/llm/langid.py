@@ -6,8 +6,8 @@ windows each, from anywhere in the text); rows whose crc32(doc_id) mod 5 is 0, n
 learned from. Prediction covers every byte of every text: full windows side by side, the last one ending with the text.
 A text's probabilities are the mean of its windows'.
 
-A filtering stage rejects what is ``und`` and what scores below ``least``, which lies half-way between chance and the score
-that ``SURE`` of the rightly read sample texts reach.
+A filtering stage rejects what is ``und`` and what scores below ``least``, which lies a third of the way from chance to the
+score that ``SURE`` of the rightly read sample texts reach: texts that read like no language in particular.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any labelled row every text is
 ``und``, and a filtering stage keeps all texts with a letter; texts shorter than a window are padded; a null doc_id is never
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     names, scores = model.predict([cuts[0] for _, _, cuts in rows])
     right = [s for n, s, (_, name, _) in zip(names, scores, rows, strict=True) if n == name]
     if right:
-        model.least = (1 / len(languages) + float(np.quantile(right, 1 - SURE))) / 2
+        model.least = (2 / len(languages) + float(np.quantile(right, 1 - SURE))) / 3
     return model
 
 
