@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import ann, bpe, decontaminate, htmltext, langid, secrets, simhash, suffixes, tokenfile, toxicity
+from weftgraph.llm import ann, bpe, decontaminate, htmltext, langid, secrets, simhash, spelling, suffixes, tokenfile, toxicity, warc, whitening
 from weftgraph.llm.common import table
 
 QUERIES = {
@@ -16,5 +16,8 @@ QUERIES = {
     "op8_token_file": lambda spark, sf_dir: tokenfile.op8(table(spark, sf_dir, "documents")),
     "op9_suffix_dedup": lambda spark, sf_dir: suffixes.op9(table(spark, sf_dir, "documents")),
     "op10_simhash": lambda spark, sf_dir: simhash.op10(table(spark, sf_dir, "documents")),
+    "op11_warc": lambda spark, sf_dir: warc.op11(table(spark, sf_dir, "pages")),
+    "op12_spelling": lambda spark, sf_dir: spelling.op12(table(spark, sf_dir, "documents")),
+    "op13_whitening": lambda spark, sf_dir: whitening.op13(table(spark, sf_dir, "embeddings")),
 }
 ORACLES: dict[str, str] = {}
