@@ -1,51 +1,63 @@
-"""Small text rules that go character by character, as vectorised functions."""
+"""The token at a selection and metadata values as they are shown."""
 
 from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from weftgraph.schema import LIMITS
 
-# Operators in the order in which they are looked for, and the limits of shown metadata.
+# Operators in the order in which they are looked for; what each kind of value counts for, and the limits of shown metadata.
 OPERATORS = ("<<<", ">>>", "===", "!==", "<<", ">>", "<=", ">=", "==", "!=", "&&", "||", "~^", "^~", "+", "-", "*", "/", "%", "^", "&", "|", "~", "!", "<", ">")
+QUOTES, KEY, OBJECT, NUMBER, TRUTH, NULL = 2, 3, 2, 32, 5, 4
 SHOWN = {"depth": 64, "nodes": 10_000, "characters": 131_072}
-_WORD = re.compile(r"[A-Za-z_$][\w$]*", re.A)
-_PART = re.compile(r"[A-Za-z0-9_$]+", re.A)
-
-
-def token_at(text: str | None, start_line: int, start_col: int, end_line: int, end_col: int) -> str | None:
-    """Token of a selection (1-based, end exclusive) in lower case: the selected word or operator, else an operator at the
-    cursor, else the word around it."""
-    lines = re.split(r"\r?\n", text or "")
-    line = lines[start_line - 1] if 0 < start_line <= len(lines) else ""
-    chosen = line[start_col - 1 : max(start_col, end_col - 1)].strip() if start_line == end_line else ""
-    if _WORD.fullmatch(chosen) or chosen in OPERATORS:
-        return chosen.lower()
-    cursor = min(len(line), max(0, start_col - 1))
-    for o in OPERATORS:
-        if o in line[max(0, cursor - len(o) + 1) : cursor + len(o)]:
-            return o
-    # The word that holds the cursor, or else ends before it.
-    near = [m for m in _PART.finditer(line) if m.start() <= cursor <= m.end()]
-    return near[-1][0].lower() if near else None
-
-
-def _fits(value: object) -> bool:
-    todo, nodes, characters = [(value, 0)], 0, 0
-    while todo:
-        v, depth = todo.pop()
-        nodes += 1
-        children = v if isinstance(v, list) else list(v.values()) if isinstance(v, dict) else []
-        characters += len(v) + 2 if isinstance(v, str | list) else 5 if isinstance(v, bool) else 4 if v is None else 2 + sum(len(k) + 3 for k in v) if isinstance(v, dict) else 32
-        if nodes + len(todo) + len(children) > SHOWN["nodes"] or depth > SHOWN["depth"] or characters > SHOWN["characters"]:
-            return False
-        todo += [(c, depth + 1) for c in children]
-    return True
+
+_WORD, _LETTERS = r"^[A-Za-z_$][A-Za-z0-9_$]*$", "[A-Za-z0-9_$]*"
+
+
+def source_token(text: Column, start_line: Column, start_col: Column, end_line: Column, end_col: Column) -> Column:
+    """Token of a selection (1-based, end exclusive) in lower case: the selected word or operator, else the first operator of
+    the table that lies at the cursor, else the word around the cursor, else null.
+
+    What could be an operator at the cursor is one of six pieces of the line, the ones of up to three characters that cover
+    the cursor's place; each is looked up in the table.
+    """
+    line = F.coalesce(F.get(F.split(text, "\r?\n"), start_line - 1), F.lit(""))
+    upto = F.greatest(start_col, end_col - 1)
+    chosen = F.regexp_replace(F.when(start_line == end_line, F.substring(line, start_col, upto - start_col + 1)).otherwise(F.lit("")), r"^\s+|\s+$", "")
+    cursor = F.least(F.length(line), F.greatest(F.lit(0), start_col - 1))
+    table = F.array(*map(F.lit, OPERATORS))
+    pieces = [F.when((cursor >= before) & (cursor - before + size <= F.length(line)), F.substring(line, cursor - before + 1, F.lit(size))) for size in (1, 2, 3) for before in range(size)]
+    ranks = F.array(*(F.array_position(table, p) for p in pieces))
+    first = F.array_min(F.filter(ranks, lambda r: r > 0))
+    word = F.concat(F.regexp_extract(F.substring(line, F.lit(1), cursor), f"({_LETTERS})$", 1), F.regexp_extract(F.substring(line, cursor + 1, F.length(line)), f"^({_LETTERS})", 1))
+    picked = F.when(chosen.rlike(_WORD) | chosen.isin(*OPERATORS), chosen).when(first.isNotNull(), F.get(table, (first - 1).cast("int"))).when(word != "", word)
+    return F.lower(picked)
+
+
+def _size(value: object) -> int:
+    """What a value counts for, without those it holds."""
+    if isinstance(value, dict):
+        return OBJECT + sum(map(len, value)) + KEY * len(value)
+    if isinstance(value, list):
+        return len(value) + QUOTES
+    return QUOTES + len(value) if isinstance(value, str) else TRUTH if isinstance(value, bool) else NULL if value is None else NUMBER
+
+
+def _within_limits(value: object) -> bool:
+    """Level by level: how many levels, values and characters there are."""
+    level, depth, nodes, size = [value], 0, 0, 0
+    while level and depth <= SHOWN["depth"] + 1 and nodes <= SHOWN["nodes"] and size <= SHOWN["characters"]:
+        depth, nodes, size = depth + 1, nodes + len(level), size + sum(map(_size, level))
+        level = list(chain.from_iterable(v.values() if isinstance(v, dict) else v for v in level if isinstance(v, dict | list)))
+    return depth <= SHOWN["depth"] + 1 and nodes <= SHOWN["nodes"] and size <= SHOWN["characters"]
 
 
 def shown_value(text: str | None) -> str | None:
@@ -57,15 +69,10 @@ def shown_value(text: str | None) -> str | None:
     if isinstance(value, str):
         return str(int(value, 2)) if len(value) <= LIMITS["decimal_bits"] and re.fullmatch("[01]+", value) else value
     if isinstance(value, list | dict):
-        return json.dumps(value, separators=(",", ":"), ensure_ascii=False) if _fits(value) else "[metadata omitted: exceeds display limits]"
+        return json.dumps(value, separators=(",", ":"), ensure_ascii=False) if _within_limits(value) else "[metadata omitted: exceeds display limits]"
     return text.strip()
 
 
-@pandas_udf(StringType())
-def source_token(text: pd.Series, start_line: pd.Series, start_col: pd.Series, end_line: pd.Series, end_col: pd.Series) -> pd.Series:
-    return pd.Series([token_at(t, int(a), int(b), int(c), int(d)) for t, a, b, c, d in zip(text, start_line, start_col, end_line, end_col, strict=True)], dtype=object)
-
-
 @pandas_udf(StringType())
 def format_json(text: pd.Series) -> pd.Series:
     return text.map(shown_value, na_action="ignore")
