@@ -52,6 +52,9 @@ def test_payloads_come_back_whole_from_small_files(spark, monkeypatch, tmp_path)
     files = warc.write_archives(pages, f"file://{tmp_path}/warc")
     records = warc.read_archives(files)
     assert files.count() > 2 and files.agg({"records": "sum"}).first()[0] == records.count() == pages.count() + files.count()
+    for f in files.collect():  # what lies on disk is the format itself
+        raw = open(f.path.removeprefix("file://"), "rb").read()
+        assert len(raw) == f.bytes and raw[:4] == struct.pack("<I", warc.DICTIONARY_FRAME) and sum(1 for _ in warc.frames(io.BytesIO(raw))) == f.records
     back = {r.page_id: (r.url, bytes(r.payload).decode()) for r in records.where("record_type = 'response'").collect()}
     assert back == {r.page_id: (r.url, r.html) for r in pages.collect()} and all(urlsplit(u).scheme for u, _ in back.values())
 

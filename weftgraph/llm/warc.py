@@ -250,10 +250,11 @@ def read_archives(paths: DataFrame, strict: bool = True) -> DataFrame:
     a bad frame, after which its file is left."""
     schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("url", pa.string()), ("page_id", pa.int64()), ("refers_to_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
 
+    # frames are decoded here: by the file's name alone the file system would take them for one plain stream
     def records(path: str) -> Iterator[dict]:
         system, name = pyarrow.fs.FileSystem.from_uri(path)
         offset = 0
-        with system.open_input_stream(name) as stream:
+        with system.open_input_stream(name, compression=None) as stream:
             try:
                 for offset, data in frames(stream):
                     try:
@@ -342,7 +343,7 @@ def write_archives(pages: DataFrame, folder: str, payload: str = "html", page_id
                 if writer is None:
                     path = f"{uuid.uuid4().hex}.warc.zst"
                     system.create_dir(below, recursive=True)
-                    writer = ArchiveWriter(system.open_output_stream(f"{below}/{path}"), dictionary)
+                    writer = ArchiveWriter(system.open_output_stream(f"{below}/{path}", compression=None), dictionary)
                     writer.add(record("warcinfo", f"<{uuid.uuid4().urn}>", date, [("Content-Type", "application/warc-fields"), ("WARC-Filename", path)], b"format: WARC File Format 1.1\r\n"))
                 writer.add(data)
                 if writer.size >= FILE_BYTES:
