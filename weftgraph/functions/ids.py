@@ -59,5 +59,15 @@ def overlay_id(kind: str, ref_id: Column, cand_id: Column) -> Column:
 
 
 def canonical_json(text: Column) -> Column:
-    """JSON text with sorted keys."""
-    return F.to_json(F.parse_json(text))
+    """JSON text with sorted keys; text that is no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+
+
+def canonical_parameters(text: Column) -> Column:
+    """Parameters as text that is equal for equal ones: keys sorted, absent the same as none."""
+    return canonical_json(F.coalesce(text, F.lit("{}")))
+
+
+def same_parameters(a: Column, b: Column) -> Column:
+    """Never null. Equal text, which most pairs have, is not parsed."""
+    return a.eqNullSafe(b) | (canonical_parameters(a) == canonical_parameters(b))

@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftgraph.functions import ids
+
 # Labels of operator cells, the other cells with a kind of their own, roles of port names, classes of glyphs.
 OPERATOR_LABELS = {
     "$add": "+", "$sub": "−", "$xor": "^", "$reduce_xor": "^", "$_XOR_": "^", "$xnor": "~^", "$reduce_xnor": "~^", "$_XNOR_": "~^",
@@ -177,7 +179,7 @@ def source_score(distance: Column) -> Column:
 
 def width_score(ref_parameters: Column, cand_parameters: Column, ref_widths: Column, cand_widths: Column) -> Column:
     """Equal parameters count half, the similarity of the multisets of port widths the other half."""
-    return (ref_parameters.eqNullSafe(cand_parameters).cast("double") + multiset_similarity(ref_widths, cand_widths)) / 2
+    return (ids.same_parameters(ref_parameters, cand_parameters).cast("double") + multiset_similarity(ref_widths, cand_widths)) / 2
 
 
 def final_score(source: Column, semantic: Column, ports: Column, neighbours: Column, params: Column) -> Column:

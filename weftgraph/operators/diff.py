@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions import ids
 from weftgraph.operators.matching import MATCH, met_once, scoped, unique_keys
 from weftgraph.session import materialise
 
@@ -12,13 +13,29 @@ from weftgraph.session import materialise
 NODE_FIELDS = ("kind", "label", "glyph", "definition_name", "parameters_json")
 PORT_FIELDS = ("name", "direction", "index", "role", "width")
 EDGE_FIELDS = ("label", "width", "signal_type", "role")
-GROUP_FIELDS = ("name", "definition_name")
+GROUP_KEY, GROUP_FIELDS = ("name", "definition_name"), ("name", "definition_name", "parameters_json")
+
+
+def _field(df: DataFrame, name: str) -> Column:
+    return (F.col(name) if name in df.columns else F.lit(None).cast("string")).alias(name)
 
 
 def status(present_ref: Column, present_cand: Column, equal: Column) -> Column:
     return F.when(~present_cand, "removed").when(~present_ref, "added").when(equal, "unchanged").otherwise("modified")
 
 
+def same_fields(ref: DataFrame, cand: DataFrame) -> Column:
+    """Whether the structs ref and cand of these frames agree in every field; parameters by value, and none is as good as absent."""
+    names = ref.schema["ref"].dataType.names
+    if names != cand.schema["cand"].dataType.names:
+        raise ValueError(f"the sides have different fields: {names}, {cand.schema['cand'].dataType.names}")
+    equal = F.col("ref").isNotNull() & F.col("cand").isNotNull()
+    for f in names:
+        a, b = F.col(f"ref.{f}"), F.col(f"cand.{f}")
+        equal = equal & (ids.same_parameters(a, b) if f == "parameters_json" else a.eqNullSafe(b))
+    return equal
+
+
 def pair_nodes(ref: DataFrame, cand: DataFrame, matches: DataFrame, ports: DataFrame | None = None, fields: tuple[str, ...] = NODE_FIELDS) -> DataFrame:
     """scope, ref_id, cand_id, ref, cand (structs of the fields, null for a missing side), method, score, status: one row per
     union object. A pair with a changed port (ports: scope, ref_id, cand_id, status) is modified too."""
@@ -26,7 +43,7 @@ def pair_nodes(ref: DataFrame, cand: DataFrame, matches: DataFrame, ports: DataF
     r = scoped(ref).select("scope", F.col("id").alias("ref_id"), F.struct(*own(ref)).alias("ref"))
     c = scoped(cand).select("scope", F.col("id").alias("cand_id"), F.struct(*own(cand)).alias("cand"))
     both = r.join(scoped(matches), ["scope", "ref_id"], "left").join(c, ["scope", "cand_id"], "full_outer")
-    equal = F.col("ref").eqNullSafe(F.col("cand"))
+    equal = same_fields(r, c)
     if ports is not None:
         changed = ports.where("status <> 'unchanged'").select(*MATCH).distinct().withColumn("port_changed", F.lit(True))
         both = both.join(changed, MATCH, "left")
@@ -149,16 +166,26 @@ def pair_edges(ref_edges: DataFrame, cand_edges: DataFrame, matches: DataFrame,
 
 
 def pair_groups(ref_groups: DataFrame, cand_groups: DataFrame, ref_children: DataFrame, cand_children: DataFrame, matches: DataFrame) -> DataFrame:
-    """Groups by id, then unique (name, definition); modified if fields or the set of mapped children differ."""
-    exact = ref_groups.select(F.col("group_id").alias("ref_id")).join(cand_groups.select(F.col("group_id").alias("cand_id")), F.col("ref_id") == F.col("cand_id"))
-    key = F.to_json(F.struct(*GROUP_FIELDS)).alias("key")
-    rest = lambda g, s: g.select(F.col("group_id").alias("id"), key).join(exact.select(F.col(s).alias("id")), "id", "left_anti")
-    pairs = exact.union(unique_keys(rest(ref_groups, "ref_id"), rest(cand_groups, "cand_id")).select("ref_id", "cand_id"))
-    mapped = ref_children.join(matches.select(F.col("ref_id").alias("child_node_id"), "cand_id"), "child_node_id", "left").groupBy("group_id").agg(F.array_sort(F.collect_set(F.coalesce("cand_id", F.concat(F.lit("ref:"), "child_node_id")))).alias("kids"))
-    own = cand_children.groupBy("group_id").agg(F.array_sort(F.collect_set("child_node_id")).alias("kids"))
-    side = lambda g, k, s: g.join(k, "group_id", "left").select(F.col("group_id").alias(f"{s}_id"), F.struct(*GROUP_FIELDS, "kids").alias(s))
-    full = side(ref_groups, mapped, "ref").join(pairs, "ref_id", "left").join(side(cand_groups, own, "cand"), "cand_id", "full_outer")
-    return full.select(F.col("ref_id").alias("ref_group"), F.col("cand_id").alias("cand_group"), status(F.col("ref").isNotNull(), F.col("cand").isNotNull(), F.col("ref").eqNullSafe(F.col("cand"))).alias("status"))
+    """scope, ref_group, cand_group, method, status: groups by id, then by (name, definition) that one group of each side has.
+
+    Modified if name, definition, parameters or the set of children differ; children of the reference count as what they
+    are matched with. Groups and children (and matches) without a scope are those of one module pair.
+    """
+    rg, cg, rk, ck = map(scoped, (ref_groups, cand_groups, ref_children, cand_children))
+    exact = rg.select("scope", F.col("group_id").alias("ref_id")).join(cg.select("scope", F.col("group_id").alias("ref_id")), ["scope", "ref_id"]).select("scope", "ref_id", F.col("ref_id").alias("cand_id"))
+    key = F.to_json(F.struct(*GROUP_KEY), {"ignoreNullFields": "false"}).alias("key")
+    rest = lambda g: g.select("scope", F.col("group_id").alias("id"), key).join(exact.select("scope", F.col("ref_id").alias("id")), ["scope", "id"], "left_anti")
+    named = unique_keys(rest(rg), rest(cg))
+    pairs = exact.withColumn("method", F.lit("exact")).unionByName(named.withColumn("method", F.lit("named")))
+    # A child without a match can't be any child of the other side: the first letter tells them apart.
+    found = scoped(matches).select("scope", F.col("ref_id").alias("child_node_id"), F.concat(F.lit("="), "cand_id").alias("to"))
+    kids = lambda df, kid: df.groupBy("scope", "group_id").agg(F.array_sort(F.collect_set(kid)).alias("kids"))
+    mapped = kids(rk.join(found, ["scope", "child_node_id"], "left"), F.coalesce("to", F.concat(F.lit("-"), "child_node_id")))
+    own = kids(ck, F.concat(F.lit("="), "child_node_id"))
+    side = lambda g, k, s: g.join(k, ["scope", "group_id"], "left").select("scope", F.col("group_id").alias(f"{s}_id"), F.struct(*[_field(g, f) for f in GROUP_FIELDS], F.coalesce("kids", F.array().cast("array<string>")).alias("kids")).alias(s))
+    r, c = side(rg, mapped, "ref"), side(cg, own, "cand")
+    full = r.join(pairs, ["scope", "ref_id"], "left").join(c, ["scope", "cand_id"], "full_outer")
+    return full.select("scope", F.col("ref_id").alias("ref_group"), F.col("cand_id").alias("cand_group"), "method", status(F.col("ref").isNotNull(), F.col("cand").isNotNull(), same_fields(r, c)).alias("status"))
 
 
 def side_projection(paired: DataFrame, side: str) -> DataFrame:

@@ -130,8 +130,7 @@ def top_status(pairs: DataFrame) -> DataFrame:
     equal = F.lit(True)
     for f in ("name", "definition_name"):
         equal = equal & F.col(f"ref.{f}").eqNullSafe(F.col(f"cand.{f}"))
-    plain = lambda s: F.coalesce(F.col(f"{s}.parameters_json"), F.lit("{}"))
-    equal = equal & (plain("ref") == plain("cand"))
+    equal = equal & ids.same_parameters(F.col("ref.parameters_json"), F.col("cand.parameters_json"))
     one = F.when(F.col("cand").isNull(), "removed").when(F.col("ref").isNull(), "added")
     return pairs.withColumn("status", one.when(equal, "unchanged").otherwise("modified"))
 
@@ -139,7 +138,7 @@ def top_status(pairs: DataFrame) -> DataFrame:
 def pair_key(policy: str, ref: Column, cand: Column) -> Column:
     """Key of a module pair (structs snapshot_id, module_id, definition_name, parameters_json, name): pairs of equal keys
     compare alike. Null for a missing side."""
-    fields = lambda s: [s[f] for f in ("snapshot_id", "module_id", "definition_name", "parameters_json")]
+    fields = lambda s: [s["snapshot_id"], s["module_id"], s["definition_name"], F.when(s.isNotNull(), ids.canonical_parameters(s["parameters_json"]))]
     parts = [F.lit(policy), *fields(ref), ref.isNotNull().cast("string"), *fields(cand), cand.isNotNull().cast("string"), ref["name"].eqNullSafe(cand["name"]).cast("string")]
     return F.sha2(F.to_json(F.array(*[F.coalesce(F.to_json(F.array(p)), F.lit("[null]")) for p in parts])), 256)
 
@@ -193,8 +192,10 @@ def status_tree(inventory: DataFrame) -> DataFrame:
 
 
 def presentation(paired: DataFrame) -> DataFrame:
-    """scope, overlay, field, before, after of every field that a union node's sides (structs ref and cand) don't share."""
+    """scope, overlay, field, before, after of every field that a union node's sides (structs ref and cand) don't share;
+    parameters of two sides count by value."""
     names = paired.schema["ref"].dataType.names
     rows = F.array(*[F.struct(F.lit(n).alias("field"), F.col("ref")[n].alias("before"), F.col("cand")[n].alias("after")) for n in names])
-    spread = paired.select("scope", ids.overlay_id("node", F.col("ref_id"), F.col("cand_id")).alias("overlay"), F.explode(rows).alias("x"))
-    return spread.select("scope", "overlay", "x.*").where(~F.col("before").eqNullSafe(F.col("after")))
+    spread = paired.select("scope", ids.overlay_id("node", F.col("ref_id"), F.col("cand_id")).alias("overlay"), (F.col("ref").isNotNull() & F.col("cand").isNotNull()).alias("both"), F.explode(rows).alias("x"))
+    alike = F.col("both") & (F.col("x.field") == "parameters_json") & ids.same_parameters(F.col("x.before"), F.col("x.after"))
+    return spread.where(~alike).select("scope", "overlay", "x.*").where(~F.col("before").eqNullSafe(F.col("after")))

@@ -107,10 +107,12 @@ def port_status(x):
     return diff.port_status(r.ports, c.ports, diff.pair_ports(r.ports, c.ports, m), m).drop("cand_id")
 
 
-@query("""SELECT concat('group:', n_nationkey) AS ref_group, concat(CASE WHEN n_nationkey % 5 = 0 THEN 'group:v2-' ELSE 'group:' END, n_nationkey) AS cand_group,
-CASE WHEN n_nationkey % 7 = 0 AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 10 = 1) THEN 'modified' ELSE 'unchanged' END AS status FROM nation""")
+@query("""WITH g AS (SELECT n_nationkey AS k, concat('group:', n_nationkey) AS ref_group, concat(CASE WHEN n_nationkey % 5 = 0 THEN 'group:v2-' ELSE 'group:' END, n_nationkey) AS cand_group FROM nation)
+SELECT 'top' AS scope, ref_group, cand_group, CASE WHEN k % 5 = 0 THEN 'named' ELSE 'exact' END AS method,
+ CASE WHEN k % 6 = 1 OR k % 7 = 0 AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey = k AND c_custkey % 10 = 1) THEN 'modified' ELSE 'unchanged' END AS status FROM g
+UNION ALL SELECT 'aux', CASE WHEN k % 4 <> 3 THEN ref_group END, cand_group, CASE WHEN k % 4 = 3 THEN NULL WHEN k % 5 = 0 THEN 'named' ELSE 'exact' END, CASE WHEN k % 4 = 3 THEN 'added' ELSE 'unchanged' END FROM g""", view=False)
 def group_pairing(x):
-    return diff.pair_groups(x.groups("ref"), x.groups("cand"), x.children("ref"), x.children("cand"), _matches(x).where("scope = 'top'"))
+    return diff.pair_groups(x.groups("ref"), x.groups("cand"), x.children("ref"), x.children("cand"), _matches(x))
 
 
 @query("SELECT scope, ref_id, cand_id, kind, label, glyph, definition_name, parameters_json, cand_id IS NOT NULL AS present FROM paired", modules=True)

@@ -67,7 +67,7 @@ def effective_settings(x):
 @query("SELECT concat('customer:', c_custkey) AS id, concat_ws('.', r_name || '.' || n.n_name, CASE WHEN c_custkey % 3 = 0 THEN g.n_name END, c_name) AS path FROM customer JOIN nation n ON c_nationkey = n.n_nationkey JOIN region ON n.n_regionkey = r_regionkey JOIN nation g ON g.n_nationkey = c_nationkey", view=False)
 def instance_paths(x):
     up = x.raw("nation").join(x.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("nation:"), "n_nationkey").alias("id"), F.concat_ws(".", "r_name", "n_name").alias("path"))
-    held = x.children("ref").join(x.groups("ref"), "group_id").where("cast(split_part(child_node_id, ':', 2) as bigint) % 3 = 0").select("child_node_id", "name")
+    held = x.children("ref").join(x.groups("ref"), ["scope", "group_id"]).where("cast(split_part(child_node_id, ':', 2) as bigint) % 3 = 0").select("child_node_id", "name")
     return presentation.instance_paths(x.ref_nodes().where("startswith(id, 'customer')"), up, held)
 
 
@@ -81,7 +81,7 @@ def shared_neighbours(x):
 
 @query("SELECT concat('part:', p_partkey) AS id, 'input|data|0,input|data|1,output|data|' AS signature FROM part", view=False)
 def port_signatures(x):
-    return matching.port_signatures(x.ports("cand"))
+    return matching.port_signatures(x.ports("cand")).drop("scope")
 
 
 @query("SELECT p_partkey AS id FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)", view=False)

@@ -90,13 +90,13 @@ class Fixture:
         top = nodes.select(
             F.lit("top").alias("scope"), (self._renamed("id") if cand else F.col("id")).alias("id"), "kind", label.alias("label"),
             (F.when(F.col("p") % 23 == 1, "×").otherwise(glyph) if cand else glyph).alias("glyph"), "definition_name",
-            F.when(F.col("c").isNotNull(), F.concat(F.lit('{"W":"'), width, F.lit('"}'))).alias("parameters_json"),
+            F.when(F.col("c").isNotNull(), F.concat(F.lit('{"A":1,"W":"'), width, F.lit('"}')) if cand else F.concat(F.lit('{"W":"'), width, F.lit('","A":1}'))).alias("parameters_json"),
         )
         w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
         chain = self.raw("nation").select("*", F.row_number().over(w).alias("r"), F.lead("n_nationkey").over(w).alias("next"))
         name = lambda k, first: F.concat(F.when(first, F.lit("")).otherwise(F.lit("m-")) if cand else F.lit(""), F.lit("nation:"), k)
         none = F.lit(None).cast("string")
-        aux = chain.select(F.lit("aux").alias("scope"), name(F.col("n_nationkey"), F.col("r") == 1).alias("id"), F.lit("register").alias("kind"), F.col("n_name").alias("label"), none.alias("glyph"), none.alias("definition_name"), none.alias("parameters_json"))
+        aux = chain.select(F.lit("aux").alias("scope"), name(F.col("n_nationkey"), F.col("r") == 1).alias("id"), F.lit("register").alias("kind"), F.col("n_name").alias("label"), none.alias("glyph"), none.alias("definition_name"), (F.lit("{}") if cand else none).alias("parameters_json"))
         links = chain.where("next is not null").select(
             F.lit("aux").alias("scope"), F.concat(F.lit("c:"), "n_nationkey").alias("id"), name(F.col("n_nationkey"), F.col("r") == 1).alias("source_node"), none.alias("source_port"), name(F.col("next"), F.lit(False)).alias("target_node"), none.alias("target_port"),
             F.lit("q").alias("label"), F.lit(1).cast("long").alias("width"), F.lit("logic").alias("signal_type"), F.lit("data").alias("role"),
@@ -127,15 +127,22 @@ class Fixture:
 
     def groups(self, side: str) -> DataFrame:
         k = F.col("n_nationkey")
-        gid = F.concat(F.when(k % 5 == 0, "group:v2-").otherwise("group:") if side == "cand" else F.lit("group:"), k.cast("string"))
-        return self.raw("nation").select(gid.alias("group_id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("definition_name"))
+        cand = side == "cand"
+        gid = F.concat(F.when(k % 5 == 0, "group:v2-").otherwise("group:") if cand else F.lit("group:"), k.cast("string"))
+        value = F.concat(F.lit('"W":'), k + F.when(k % 6 == 1, 1).otherwise(0) if cand else k)
+        given = F.concat(F.lit('{"A":[1],'), value, F.lit("}")) if cand else F.concat(F.lit("{"), value, F.lit(',"A": [1]}'))
+        base = [gid.alias("group_id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("definition_name")]
+        top = self.raw("nation").select(F.lit("top").alias("scope"), *base, given.alias("parameters_json"))
+        # The same ids in another module pair; some groups are new there.
+        aux = self.raw("nation").where(F.lit(True) if cand else k % 4 != 3).select(F.lit("aux").alias("scope"), *base, F.lit("{}" if cand else None).cast("string").alias("parameters_json"))
+        return top.union(aux)
 
     def children(self, side: str) -> DataFrame:
         n, c = F.col("c_nationkey"), F.col("c_custkey")
         gid = F.concat(F.when(n % 5 == 0, "group:v2-").otherwise("group:") if side == "cand" else F.lit("group:"), n.cast("string"))
         kid = F.concat(F.when(c % 10 == 3, "v2-customer:").otherwise("customer:") if side == "cand" else F.lit("customer:"), c.cast("string"))
         rows = self.raw("customer")
-        return (rows.where(~((n % 7 == 0) & (c % 10 == 1))) if side == "cand" else rows).select(gid.alias("group_id"), kid.alias("child_node_id"))
+        return (rows.where(~((n % 7 == 0) & (c % 10 == 1))) if side == "cand" else rows).select(F.lit("top").alias("scope"), gid.alias("group_id"), kid.alias("child_node_id"))
 
     def sources(self) -> DataFrame:
         return self.raw("documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.sha2("text", 256).alias("sha256"), "doc_id", "text")
@@ -188,14 +195,14 @@ _NAMED = "scope, kind, label, CASE WHEN kind = 'module' THEN definition_name END
 #: Module graphs of both sides, the four certain stages, and the pairs of nodes, ports and edges.
 MODULES = f""",
 rn AS MATERIALIZED (SELECT 'top' AS scope, id, kind, label, CASE WHEN kind = 'operator' THEN (['+', '−', '&', '|'])[CAST(substring(id, 6) AS BIGINT) % 4 + 1] END AS glyph, definition_name,
-   CASE WHEN ck IS NOT NULL THEN concat('{{"W":"', ck % 7, '"}}') END AS parameters_json, CASE WHEN kind = 'operator' THEN 'P' ELSE '' END AS sig FROM keyed
+   CASE WHEN ck IS NOT NULL THEN concat('{{"W":"', ck % 7, '","A":1}}') END AS parameters_json, CASE WHEN kind = 'operator' THEN 'P' ELSE '' END AS sig FROM keyed
   UNION ALL SELECT 'aux', concat('nation:', n_nationkey), 'register', n_name, NULL, NULL, NULL, '' FROM nation),
 cand_keyed AS (SELECT *, CASE WHEN id LIKE '%customer:%' THEN CAST(string_split(id, ':')[2] AS BIGINT) END AS ck, CASE WHEN id LIKE 'order:%' THEN TRY_CAST(substring(id, 7) AS BIGINT) END AS ok,
    CASE WHEN id LIKE 'supplier:%' THEN CAST(substring(id, 10) AS BIGINT) END AS sk, CASE WHEN id LIKE 'part:%' THEN CAST(substring(id, 6) AS BIGINT) END AS pk FROM cand_nodes),
 cn AS MATERIALIZED (SELECT 'top' AS scope, CASE WHEN ok % 50 = 13 OR sk % 8 = 5 THEN 'v2-' || id ELSE id END AS id, kind, CASE WHEN sk % 8 = 5 THEN concat('S', sk) ELSE label END AS label,
    CASE WHEN pk % 23 = 1 THEN '×' WHEN kind = 'operator' THEN (['+', '−', '&', '|'])[pk % 4 + 1] END AS glyph, definition_name,
-   CASE WHEN ck IS NOT NULL THEN concat('{{"W":"', ck % 7 + CASE WHEN ck % 12 = 5 THEN 1 ELSE 0 END, '"}}') END AS parameters_json, CASE WHEN kind = 'operator' THEN 'P' ELSE '' END AS sig FROM cand_keyed
-  UNION ALL SELECT 'aux', concat(CASE WHEN r = 1 THEN '' ELSE 'm-' END, 'nation:', n_nationkey), 'register', n_name, NULL, NULL, NULL, '' FROM {_CHAIN}),
+   CASE WHEN ck IS NOT NULL THEN concat('{{"A":1,"W":"', ck % 7 + CASE WHEN ck % 12 = 5 THEN 1 ELSE 0 END, '"}}') END AS parameters_json, CASE WHEN kind = 'operator' THEN 'P' ELSE '' END AS sig FROM cand_keyed
+  UNION ALL SELECT 'aux', concat(CASE WHEN r = 1 THEN '' ELSE 'm-' END, 'nation:', n_nationkey), 'register', n_name, NULL, NULL, '{{}}', '' FROM {_CHAIN}),
 lines AS (SELECT l_orderkey AS o, l_partkey AS p, l_linenumber AS l, count(*) AS width FROM lineitem GROUP BY ALL),
 re AS MATERIALIZED (SELECT 'top' AS scope, concat('e:', o, ':', p, ':', l) AS id, concat('order:', o) AS s, concat('part:', p) AS t, CASE WHEN l % 2 = 0 THEN 'A' ELSE 'B' END AS tp, concat('n', p % 10) AS label, width, 'logic' AS signal_type FROM lines
   UNION ALL SELECT 'aux', concat('c:', n_nationkey), concat('nation:', n_nationkey), concat('nation:', nx), NULL, 'q', 1, 'logic' FROM {_CHAIN} WHERE nx IS NOT NULL),
@@ -219,7 +226,7 @@ port_pairs AS (SELECT m.scope, m.ref_id, m.cand_id, p.p_partkey AS k, x.port AS
    CASE WHEN p.p_size % 5 = 0 OR (x.port = 'B' AND p.p_partkey % 17 = 0) THEN 'modified' ELSE 'unchanged' END AS status FROM matches m JOIN part p ON m.ref_id = concat('part:', p.p_partkey) AND m.cand_id = m.ref_id AND m.scope = 'top', (VALUES ('A'), ('B'), ('Y')) x(port)),
 paired AS MATERIALIZED (SELECT coalesce(r.scope, c.scope) AS scope, r.id AS ref_id, c.id AS cand_id, r.method, r.score, coalesce(c.kind, r.kind) AS kind, CASE WHEN c.id IS NULL THEN r.label ELSE c.label END AS label, CASE WHEN c.id IS NULL THEN r.glyph ELSE c.glyph END AS glyph,
     CASE WHEN c.id IS NULL THEN r.definition_name ELSE c.definition_name END AS definition_name, CASE WHEN c.id IS NULL THEN r.parameters_json ELSE c.parameters_json END AS parameters_json,
-    CASE WHEN c.id IS NULL THEN 'removed' WHEN r.id IS NULL THEN 'added' WHEN r.kind = c.kind AND r.label = c.label AND r.glyph IS NOT DISTINCT FROM c.glyph AND r.definition_name IS NOT DISTINCT FROM c.definition_name AND r.parameters_json IS NOT DISTINCT FROM c.parameters_json
+    CASE WHEN c.id IS NULL THEN 'removed' WHEN r.id IS NULL THEN 'added' WHEN r.kind = c.kind AND r.label = c.label AND r.glyph IS NOT DISTINCT FROM c.glyph AND r.definition_name IS NOT DISTINCT FROM c.definition_name AND coalesce(regexp_extract(r.parameters_json, '[0-9]+"'), '') = coalesce(regexp_extract(c.parameters_json, '[0-9]+"'), '')
       AND NOT EXISTS (SELECT 1 FROM port_pairs p WHERE p.ref_id = r.id AND p.scope = r.scope AND p.status = 'modified') THEN 'unchanged' ELSE 'modified' END AS status
   FROM (SELECT n.*, m.cand_id, m.method, m.score FROM rn n LEFT JOIN matches m ON n.scope = m.scope AND n.id = m.ref_id) r FULL JOIN cn c ON r.scope = c.scope AND r.cand_id = c.id),
 re_to AS MATERIALIZED (SELECT e.*, coalesce(ms.cand_id, 'ref only ' || e.s) AS s2, coalesce(mt.cand_id, 'ref only ' || e.t) AS t2, CASE WHEN e.tp IS NULL THEN '' ELSE coalesce(p.cand_port, 'ref only ' || e.tp) END AS tp2 FROM re e LEFT JOIN matches ms ON ms.scope = e.scope AND ms.ref_id = e.s

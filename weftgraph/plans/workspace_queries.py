@@ -106,20 +106,20 @@ def child_pairs(x):
     return workspace.child_pairs(own(x.ref_nodes()), own(x.cand_nodes())).drop("scope")
 
 
-@query("""SELECT coalesce(r.k, c.k) AS id, CASE WHEN c.k IS NULL THEN 'removed' WHEN r.k IS NULL THEN 'added' WHEN r.n = c.n AND coalesce(r.p, '{}') = coalesce(c.p, '{}') THEN 'unchanged' ELSE 'modified' END AS status FROM
- (SELECT n_nationkey AS k, n_name AS n, CASE WHEN n_nationkey % 2 = 0 THEN '{}' END AS p FROM nation WHERE n_nationkey % 7 <> 1) r FULL JOIN (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN lower(n_name) ELSE n_name END AS n, CASE WHEN n_nationkey % 3 = 0 THEN '{"A":1}' END AS p FROM nation WHERE n_nationkey % 6 <> 2) c ON r.k = c.k""", view=False)
+@query("""SELECT coalesce(r.k, c.k) AS id, CASE WHEN c.k IS NULL THEN 'removed' WHEN r.k IS NULL THEN 'added' WHEN r.n = c.n AND coalesce(json_extract_string(r.p, '$.B'), '') = coalesce(json_extract_string(c.p, '$.B'), '') THEN 'unchanged' ELSE 'modified' END AS status FROM
+ (SELECT n_nationkey AS k, n_name AS n, CASE WHEN n_nationkey % 2 = 0 THEN '{}' WHEN n_nationkey % 3 = 0 THEN '{"B": 2, "A": 1}' END AS p FROM nation WHERE n_nationkey % 7 <> 1) r FULL JOIN (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN lower(n_name) ELSE n_name END AS n, CASE WHEN n_nationkey % 3 = 0 THEN '{"A":1,"B":2}' WHEN n_nationkey % 4 = 1 THEN '{"B":2,"A":1}' END AS p FROM nation WHERE n_nationkey % 6 <> 2) c ON r.k = c.k""", view=False)
 def top_status(x):
     k, n = F.col("n_nationkey"), F.col("n_name")
     side = lambda name, p, s: F.struct(name.alias("name"), F.lit("d").alias("definition_name"), p.alias("parameters_json")).alias(s)
-    r = x.raw("nation").where("n_nationkey % 7 <> 1").select(k.alias("id"), side(n, F.when(k % 2 == 0, "{}"), "ref"))
-    c = x.raw("nation").where("n_nationkey % 6 <> 2").select(k.alias("id"), side(F.when(k % 5 == 0, F.lower(n)).otherwise(n), F.when(k % 3 == 0, '{"A":1}'), "cand"))
+    r = x.raw("nation").where("n_nationkey % 7 <> 1").select(k.alias("id"), side(n, F.when(k % 2 == 0, "{}").when(k % 3 == 0, '{"B": 2, "A": 1}'), "ref"))
+    c = x.raw("nation").where("n_nationkey % 6 <> 2").select(k.alias("id"), side(F.when(k % 5 == 0, F.lower(n)).otherwise(n), F.when(k % 3 == 0, '{"A":1,"B":2}').when(k % 4 == 1, '{"B":2,"A":1}'), "cand"))
     return workspace.top_status(r.join(c, "id", "full_outer")).select("id", "status")
 
 
 @query("SELECT count(DISTINCT (c_mktsegment, c_nationkey % 5, c_custkey % 3 = 0)) AS keys, count(*) AS pairs FROM customer", view=False)
 def pair_keys(x):
     c, k = x.raw("customer"), F.col("c_custkey")
-    side = lambda there: F.when(there, F.struct(F.lit("s").alias("snapshot_id"), (F.col("c_nationkey") % 5).cast("string").alias("module_id"), F.col("c_mktsegment").alias("definition_name"), F.lit("{}").alias("parameters_json"), F.lit("n").alias("name")))
+    side = lambda there: F.when(there, F.struct(F.lit("s").alias("snapshot_id"), (F.col("c_nationkey") % 5).cast("string").alias("module_id"), F.col("c_mktsegment").alias("definition_name"), F.when(k % 2 == 0, "{}").alias("parameters_json"), F.lit("n").alias("name")))
     return c.select(workspace.pair_key("conservative", side(F.lit(True)), side(k % 3 != 0)).alias("key")).agg(F.count_distinct("key").alias("keys"), F.count("*").alias("pairs"))
 
 
@@ -159,7 +159,7 @@ def status_tree(x):
 
 @query(f"""WITH b AS (SELECT p.scope, {_OVERLAY} AS overlay, r, c FROM paired p LEFT JOIN rn r ON r.scope = p.scope AND r.id = p.ref_id LEFT JOIN cn c ON c.scope = p.scope AND c.id = p.cand_id)
 SELECT scope, overlay, field, before, after FROM (SELECT scope, overlay, 'kind' AS field, r.kind AS before, c.kind AS after FROM b UNION ALL SELECT scope, overlay, 'label', r.label, c.label FROM b UNION ALL SELECT scope, overlay, 'glyph', r.glyph, c.glyph FROM b
- UNION ALL SELECT scope, overlay, 'definition_name', r.definition_name, c.definition_name FROM b UNION ALL SELECT scope, overlay, 'parameters_json', r.parameters_json, c.parameters_json FROM b) WHERE before IS DISTINCT FROM after""", modules=True)
+ UNION ALL SELECT scope, overlay, 'definition_name', r.definition_name, c.definition_name FROM b UNION ALL SELECT scope, overlay, 'parameters_json', r.parameters_json, c.parameters_json FROM b WHERE r.id IS NULL OR c.id IS NULL OR coalesce(regexp_extract(r.parameters_json, '[0-9]+"'), '') <> coalesce(regexp_extract(c.parameters_json, '[0-9]+"'), '')) WHERE before IS DISTINCT FROM after""", modules=True)
 def entity_presentation(x):
     return workspace.presentation(_paired(x))
 
