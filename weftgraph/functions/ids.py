@@ -52,10 +52,19 @@ def overlay_id(kind: str, ref_id: Column, cand_id: Column) -> Column:
     """``kind:`` and the percent-encoded JSON pair of the two sides' ids, null for a missing side."""
     quoted = lambda c: F.coalesce(F.regexp_replace(F.to_json(F.array(c)), r"^\[(.*)\]$", "$1"), F.lit("null"))
     pair = F.concat(F.lit("["), F.when(ref_id.isNull(), F.lit("null")).otherwise(quoted(ref_id)), F.lit(","), F.when(cand_id.isNull(), F.lit("null")).otherwise(quoted(cand_id)), F.lit("]"))
-    code = F.url_encode(pair)
+    return F.concat(F.lit(f"cmp:{kind}:"), _encoded(pair))
+
+
+def _encoded(text: Column) -> Column:
+    code = F.url_encode(text)
     for a, b in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
         code = F.replace(code, F.lit(a), F.lit(b))
-    return F.concat(F.lit(f"cmp:{kind}:"), code)
+    return code
+
+
+def inner_id(instance: Column, inner: Column) -> Column:
+    """Id of an object of a compared child below an expanded instance; null for null. No two pairs share an id."""
+    return F.when(instance.isNotNull() & inner.isNotNull(), F.concat(F.lit("cmp:projection:"), _encoded(scope_id(instance, inner))))
 
 
 def canonical_json(text: Column) -> Column:
