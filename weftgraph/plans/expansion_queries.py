@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators import expansion
+from weftgraph.operators import expansion, hierarchy
 from weftgraph.operators.expansion import EDGE, SCHEMAS, Comparison
 from weftgraph.plans.fixtures import Fixture
 from weftgraph.plans.registry import query
@@ -106,3 +106,22 @@ SELECT id, status FROM n""", view=False)
 def flattened_nodes(x):
     h = Hierarchy(x)
     return expansion.flatten(h.comparison(), h.links).nodes.where("scope = 'w'").select("id", "status")
+
+
+@query("""WITH ns AS (SELECT DISTINCT n_regionkey AS r, c_nationkey AS k, c_mktsegment AS s FROM customer JOIN nation ON n_nationkey = c_nationkey),
+sp AS (SELECT DISTINCT c_mktsegment AS s, o_orderpriority AS p, CASE WHEN o_orderpriority LIKE '5%' THEN 1 ELSE 0 END AS code FROM orders JOIN customer ON o_custkey = c_custkey WHERE ascii(c_mktsegment) % 2 = 0),
+sc AS (SELECT s, max(greatest(CASE WHEN s = 'MACHINERY' THEN 1 ELSE 0 END, coalesce(code, 0))) AS code FROM (SELECT DISTINCT s FROM ns) LEFT JOIN sp USING (s) GROUP BY s),
+nc AS (SELECT n_regionkey AS r, n_nationkey AS k, max(greatest(CASE WHEN n_nationkey % 7 = 3 THEN 2 ELSE 0 END, coalesce(code, 0))) AS code FROM nation LEFT JOIN ns ON ns.k = n_nationkey LEFT JOIN sc USING (s) GROUP BY ALL),
+i AS (SELECT r AS root, concat('r:', r) AS pair, concat('n', k) AS instance, code FROM nc UNION ALL SELECT r, concat('n:', k), concat('s', s), code FROM ns JOIN sc USING (s) UNION ALL SELECT DISTINCT r, concat('s:', s), concat('p', p), code FROM ns JOIN sp USING (s))
+SELECT concat('root', root) AS root, pair, instance, CASE code WHEN 2 THEN 'contains' WHEN 1 THEN 'unknown' ELSE 'none' END AS state FROM i""", view=False)
+def pair_change_index(x):
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c))
+    nations, customers = x.raw("nation"), x.raw("customer")
+    segments = customers.select(text("n:", "c_nationkey").alias("pair"), text("s", "c_mktsegment").alias("instance"), text("s:", "c_mktsegment").alias("child")).distinct()
+    orders = x.raw("orders").join(customers.where(F.ascii("c_mktsegment") % 2 == 0), F.col("o_custkey") == F.col("c_custkey")).select(text("s:", "c_mktsegment"), text("p", "o_orderpriority"), text("p:", "o_orderpriority")).distinct()
+    children = nations.select(text("r:", "n_regionkey").alias("pair"), text("n", "n_nationkey").alias("instance"), text("n:", "n_nationkey").alias("child")).union(segments).union(orders)
+    no = F.lit(False)
+    pairs = x.raw("region").select(text("r:", "r_regionkey").alias("pair"), no.alias("changed")).union(nations.select(text("n:", "n_nationkey"), F.col("n_nationkey") % 7 == 3))
+    pairs = pairs.union(customers.select(text("s:", "c_mktsegment"), F.when(F.col("c_mktsegment") != "MACHINERY", no)).distinct()).union(x.raw("orders").select(text("p:", "o_orderpriority"), F.when(~F.col("o_orderpriority").startswith("5"), no)).distinct())
+    roots = x.raw("region").select(text("root", "r_regionkey").alias("root"), text("r:", "r_regionkey").alias("pair"))
+    return hierarchy.change_index(roots, pairs, children)[0]
