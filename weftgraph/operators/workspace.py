@@ -109,12 +109,19 @@ def first_source(modules: DataFrame, origins: DataFrame, files: DataFrame, tree:
     """module, path: the first of the module's files (module, ord, path), then the project's (ord, path), that its first origin
     (module, ord, file) can stand for; else its first file; else the project's first file of the design languages."""
     norm = lambda c: scalars.normal_path(F.col(c))
-    listed = files.select("module", F.lit(0).alias("of"), "ord", "path").union(modules.select("module").join(tree.select(F.lit(1).alias("of"), "ord", "path")))
-    first = origins.groupBy("module").agg(F.min_by("file", "ord").alias("file")).select("module", norm("file").alias("file"))
+    first = origins.groupBy("module").agg(F.min_by("file", "ord").alias("file")).join(modules.select("module"), "module", "left_semi").select("module", norm("file").alias("file"))
     p, f = norm("path"), F.col("file")
-    hit = (p == f) | p.endswith(F.concat(F.lit("/"), f)) | f.endswith(F.concat(F.lit("/"), p))
-    ranked = listed.join(first, "module", "left").withColumn("rank", F.when(F.coalesce(hit, F.lit(False)), 0).when(F.col("of") == 0, 1).when((F.col("of") == 1) & F.rlike(F.col("path"), F.lit(r"(?i)\.(?:sv|svh|v|vh)$")), 2))
-    return ranked.where("rank is not null").groupBy("module").agg(F.min_by("path", F.struct("rank", "of", "ord")).alias("path"))
+    hit = F.coalesce((p == f) | p.endswith(F.concat(F.lit("/"), f)) | f.endswith(F.concat(F.lit("/"), p)), F.lit(False))
+    own = files.join(modules.select("module"), "module", "left_semi").join(first, "module", "left").select("module", F.when(hit, 0).otherwise(1).alias("rank"), F.lit(0).alias("of"), "ord", "path")
+    # A project file that an origin can stand for ends like it, or the other way round: the ends are keys, with one file each.
+    best = F.min(F.struct("ord", "path")).alias("best")
+    longer = tree.select("ord", "path", F.explode(scalars.path_suffixes(p)).alias("file")).groupBy("file").agg(best)
+    shorter = tree.select("ord", "path", p.alias("end")).groupBy("end").agg(best)
+    asked = first.select("module", F.explode(scalars.path_suffixes(f)).alias("end")).join(shorter, "end").select("module", "best")
+    found = first.join(longer, "file").select("module", "best").union(asked).select("module", F.lit(0).alias("rank"), F.lit(1).alias("of"), "best.ord", "best.path")
+    usual = tree.where(F.rlike(F.col("path"), F.lit(r"(?i)\.(?:sv|svh|v|vh)$"))).groupBy(F.lit(1).alias("any")).agg(best)  # one row
+    rest = modules.select("module", F.lit(1).alias("any")).join(usual, "any").select("module", F.lit(2).alias("rank"), F.lit(1).alias("of"), "best.ord", "best.path")
+    return own.unionByName(found).unionByName(rest).groupBy("module").agg(F.min_by("path", F.struct("rank", "of", "ord")).alias("path"))
 
 
 def child_pairs(ref: DataFrame, cand: DataFrame) -> DataFrame:

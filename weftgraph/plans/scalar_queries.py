@@ -40,32 +40,41 @@ _PORT_ROWS = """
 _PORT_NAMES = re.findall(r"\('([^']+)',(?:'[a-z]+'|NULL),", _PORT_ROWS)
 
 
+def _each(x, values: list[str], name: str):
+    """id of every part, and one of the values by its number."""
+    return x.raw("part").select(F.col("p_partkey").alias("id"), _pick(tuple(values), "p_partkey").alias(name))
+
+
+def _each_sql(values: list[str], name: str) -> str:
+    return f"(SELECT p_partkey AS id, {_pick_sql(tuple(values), 'p_partkey')} AS {name} FROM part)"
+
+
 def _rows(x, values: list[str], name: str):
     """The values as a table, made where it runs."""
     return x.spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
 
 
-@query(f"""SELECT type, kind, label, CASE WHEN kind = 'operator' THEN label END AS glyph, CASE WHEN kind = 'module' THEN 'fifo' END AS definition FROM (VALUES {_CELL_ROWS}) v(type, kind, label)""", view=False)
+@query(f"""SELECT id, type, kind, label, CASE WHEN kind = 'operator' THEN label END AS glyph, CASE WHEN kind = 'module' THEN 'fifo' END AS definition FROM (VALUES {_CELL_ROWS}) v(type, kind, label) JOIN {_each_sql(_CELL_TYPES, "type")} USING (type)""", view=False)
 def classify_cells(x):
     t = F.col("type")
-    return _rows(x, _CELL_TYPES, "type").select("type", scalars.cell_kind(t).alias("kind"), scalars.cell_label(F.lit("\\u_cell"), t).alias("label"), scalars.cell_glyph(t).alias("glyph"), scalars.cell_definition(t).alias("definition"))
+    return _each(x, _CELL_TYPES, "type").select("id", "type", scalars.cell_kind(t).alias("kind"), scalars.cell_label(F.lit("\\u_cell"), t).alias("label"), scalars.cell_glyph(t).alias("glyph"), scalars.cell_definition(t).alias("definition"))
 
 
-@query(f"""SELECT port, cell, CASE WHEN cell = '$mux' THEN of_mux ELSE of_other END AS role, CASE (CASE WHEN cell = '$mux' THEN of_mux ELSE of_other END) WHEN 'clock' THEN 'clock' WHEN 'reset' THEN 'reset' WHEN 'enable' THEN 'control' WHEN 'select' THEN 'control' ELSE 'data' END AS edge_role,
- CASE WHEN cell <> '$dff' AND port = 'A' THEN 0 WHEN cell <> '$dff' AND port = 'B' THEN 1 END AS operand FROM (VALUES {_PORT_ROWS}) v(port, of_mux, of_other), (VALUES ('$mux'), ('$modfloor'), ('$dff')) c(cell)""", view=False)
+@query(f"""SELECT id, port, cell, CASE WHEN cell = '$mux' THEN of_mux ELSE of_other END AS role, CASE (CASE WHEN cell = '$mux' THEN of_mux ELSE of_other END) WHEN 'clock' THEN 'clock' WHEN 'reset' THEN 'reset' WHEN 'enable' THEN 'control' WHEN 'select' THEN 'control' ELSE 'data' END AS edge_role,
+ CASE WHEN cell <> '$dff' AND port = 'A' THEN 0 WHEN cell <> '$dff' AND port = 'B' THEN 1 END AS operand FROM (VALUES {_PORT_ROWS}) v(port, of_mux, of_other) JOIN {_each_sql(_PORT_NAMES, "port")} USING (port), (VALUES ('$mux'), ('$modfloor'), ('$dff')) c(cell)""", view=False)
 def port_roles(x):
-    p = _rows(x, _PORT_NAMES, "port").withColumn("cell", F.explode(F.array(F.lit("$mux"), F.lit("$modfloor"), F.lit("$dff"))))
+    p = _each(x, _PORT_NAMES, "port").withColumn("cell", F.explode(F.array(F.lit("$mux"), F.lit("$modfloor"), F.lit("$dff"))))
     role = scalars.port_role(F.col("cell"), F.col("port"))
-    return p.select("port", "cell", role.alias("role"), scalars.edge_role(role, F.lit(None).cast("string")).alias("edge_role"), scalars.operand_index(F.col("cell"), F.col("port")).alias("operand"))
+    return p.select("id", "port", "cell", role.alias("role"), scalars.edge_role(role, F.lit(None).cast("string")).alias("edge_role"), scalars.operand_index(F.col("cell"), F.col("port")).alias("operand"))
 
 
 _ORDERED = ("$mux", "$sub", "$shl", "$sshl", "$shr", "$sshr", "$shift", "$shiftx", "$div", "$divfloor", "$mod", "$modfloor", "$pow", "$lt", "$le", "$gt", "$ge")
 
 
-@query(f"""SELECT type, port, CASE WHEN type IN ({", ".join(f"'{c}'" for c in _ORDERED)}) THEN CASE port WHEN '\\a' THEN 0 WHEN 'B' THEN 1 END END AS operand FROM (VALUES {_CELL_ROWS}) v(type, kind, label), (VALUES ('\\a'), ('B'), ('Y')) p(port)""", view=False)
+@query(f"""SELECT id, type, port, CASE WHEN type IN ({", ".join(f"'{c}'" for c in _ORDERED)}) THEN CASE port WHEN '\\a' THEN 0 WHEN 'B' THEN 1 END END AS operand FROM {_each_sql(_CELL_TYPES, "type")} v, (VALUES ('\\a'), ('B'), ('Y')) p(port)""", view=False)
 def operand_indexes(x):
-    t = _rows(x, _CELL_TYPES, "type").withColumn("port", F.explode(F.array(F.lit("\\a"), F.lit("B"), F.lit("Y"))))
-    return t.select("type", "port", scalars.operand_index(F.col("type"), F.col("port")).alias("operand"))
+    t = _each(x, _CELL_TYPES, "type").withColumn("port", F.explode(F.array(F.lit("\\a"), F.lit("B"), F.lit("Y"))))
+    return t.select("id", "type", "port", scalars.operand_index(F.col("type"), F.col("port")).alias("operand"))
 
 
 _GLYPH_ROWS = """
@@ -74,10 +83,13 @@ _GLYPH_ROWS = """
 ('!=','Not equal',NULL),('<','Less than',NULL),('≤','Less than or equal',NULL),('>','Greater than',NULL),('≥','Greater than or equal',NULL),('→','Buffer','buffer'),('{}','Concatenate',NULL),('[]','Slice',NULL),('@','Operator @',NULL)"""
 
 
-@query(f"SELECT glyph, name, gate FROM (VALUES {_GLYPH_ROWS}) v(glyph, name, gate)", view=False)
+_GLYPHS = re.findall(r"\('([^']+)','[^']+',", _GLYPH_ROWS)
+
+
+@query(f"SELECT id, glyph, name, gate FROM (VALUES {_GLYPH_ROWS}) v(glyph, name, gate) JOIN {_each_sql(_GLYPHS, 'glyph')} USING (glyph)", view=False)
 def operator_names(x):
-    g = _rows(x, re.findall(r"\('([^']+)','[^']+',", _GLYPH_ROWS), "glyph")
-    return g.select("glyph", scalars.operator_name(F.col("glyph")).alias("name"), scalars.gate_class(F.col("glyph")).alias("gate"))
+    g = _each(x, _GLYPHS, "glyph")
+    return g.select("id", "glyph", scalars.operator_name(F.col("glyph")).alias("name"), scalars.gate_class(F.col("glyph")).alias("gate"))
 
 
 @query("""SELECT DISTINCT event_type AS raw, CASE lower(event_type) WHEN 'input' THEN 'input' ELSE 'unknown' END AS direction, 'inout' AS shown FROM events
@@ -109,18 +121,19 @@ def layout_profiles(x):
 
 _TEXTS = """
 ('',''),('A','a'),('a','b'),('a','ab'),('__','__'),('Foo Bar','foobar'),('é','è'),('abc','abd'),('aaaa','aa'),('x$1','X$1'),('clk_i','clk'),(NULL,'a'),('a',NULL),('- -','---'),('n','N!')"""
+_PAIRS = [[None if v == "NULL" else v[1:-1] for v in p] for p in re.findall(r"\((NULL|'[^']*'),(NULL|'[^']*')\)", _TEXTS)]
+_LIST = lambda i: "([" + ", ".join("NULL" if p[i] is None else f"'{p[i]}'" for p in _PAIRS) + f"])[p_partkey % {len(_PAIRS)} + 1]"
 
 
-@query(f"""WITH v AS (SELECT * FROM (VALUES {_TEXTS}) v(a, b)), p AS (SELECT *, regexp_replace(lower(coalesce(a, '')), '[^a-z0-9_$]', '', 'g') AS x, regexp_replace(lower(coalesce(b, '')), '[^a-z0-9_$]', '', 'g') AS y FROM v),
-g AS (SELECT a, b, unnest(list_transform(range(1, length(x)), lambda i: substring(x, i, 2))) AS g, 1 AS u, 0 AS w FROM p UNION ALL SELECT a, b, unnest(list_transform(range(1, length(y)), lambda i: substring(y, i, 2))), 0, 1 FROM p),
-c AS (SELECT a, b, sum(least(u, w)) AS n FROM (SELECT a, b, g, sum(u) AS u, sum(w) AS w FROM g GROUP BY ALL) GROUP BY ALL)
-SELECT p.a, p.b, round(CASE WHEN coalesce(p.a, '') = '' OR coalesce(p.b, '') = '' THEN 0 WHEN p.a = p.b THEN 1 WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 WHEN length(x) = 1 OR length(y) = 1 THEN 0
- ELSE 2.0 * coalesce(n, 0) / (length(x) + length(y) - 2) END, 6)::DOUBLE AS similarity FROM p LEFT JOIN c ON c.a IS NOT DISTINCT FROM p.a AND c.b IS NOT DISTINCT FROM p.b""", view=False)
+@query(f"""WITH v AS (SELECT p_partkey AS id, {_LIST(0)} AS a, {_LIST(1)} AS b FROM part), p AS (SELECT *, regexp_replace(lower(coalesce(a, '')), '[^a-z0-9_$]', '', 'g') AS x, regexp_replace(lower(coalesce(b, '')), '[^a-z0-9_$]', '', 'g') AS y FROM v),
+g AS (SELECT id, unnest(list_transform(range(1, length(x)), lambda i: substring(x, i, 2))) AS g, 1 AS u, 0 AS w FROM p UNION ALL SELECT id, unnest(list_transform(range(1, length(y)), lambda i: substring(y, i, 2))), 0, 1 FROM p),
+c AS (SELECT id, sum(least(u, w)) AS n FROM (SELECT id, g, sum(u) AS u, sum(w) AS w FROM g GROUP BY ALL) GROUP BY ALL)
+SELECT p.id, p.a, p.b, round(CASE WHEN coalesce(p.a, '') = '' OR coalesce(p.b, '') = '' THEN 0 WHEN p.a = p.b THEN 1 WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 WHEN length(x) = 1 OR length(y) = 1 THEN 0
+ ELSE 2.0 * coalesce(n, 0) / (length(x) + length(y) - 2) END, 6)::DOUBLE AS similarity FROM p LEFT JOIN c ON c.id = p.id""", view=False)
 def string_similarity_edges(x):
-    pairs = re.findall(r"\((NULL|'[^']*'),(NULL|'[^']*')\)", _TEXTS)
-    value = lambda t: F.lit(None if t == "NULL" else t[1:-1]).cast("string")
-    p = x.spark.range(1).select(F.explode(F.array(*[F.struct(value(a).alias("a"), value(b).alias("b")) for a, b in pairs])).alias("v")).select("v.*")
-    return p.select("a", "b", F.round(scalars.string_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    at = (F.col("p_partkey") % len(_PAIRS) + 1).cast("int")
+    p = x.raw("part").select(F.col("p_partkey").alias("id"), *(F.element_at(F.array(*(F.lit(v[i]).cast("string") for v in _PAIRS)), at).alias(n) for i, n in enumerate("ab")))
+    return p.select("id", "a", "b", F.round(scalars.string_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 @query("SELECT p_partkey AS id, concat('3''b', CASE WHEN p_size % 8 = 0 THEN '0' ELSE concat((p_size // 4) % 2, (p_size // 2) % 2, p_size % 2) END) AS label FROM part", view=False)

@@ -40,14 +40,16 @@ def attach_ranges(x):
 _RELATED = """('top.sv','rtl/top.sv'),('rtl/top.sv','rtl/top.sv'),('./rtl/top.sv','rtl/top.sv'),('alu.sv','rtl/alu.sv'),('alu.sv','sim/alu.sv'),('/x/rtl/top.sv','rtl/top.sv'),('/x/rtl/top.sv','sim/tb.sv'),('gone.sv','rtl/top.sv'),('old/tb.sv','sim/tb.sv'),('sim/alu.sv','rtl/alu.sv')"""
 
 
-@query(f"""WITH a AS (SELECT * FROM (VALUES {_RELATED}) v(source, selected)), i AS (SELECT * FROM (VALUES ('rtl/top.sv'), ('rtl/alu.sv'), ('sim/alu.sv'), ('sim/tb.sv')) v(p)),
+@query(f"""WITH a AS (SELECT replace(source, '.sv', concat(n_nationkey, '.sv')) AS source, replace(selected, '.sv', concat(n_nationkey, '.sv')) AS selected FROM nation, (VALUES {_RELATED}) v(source, selected)),
+i AS (SELECT replace(p, '.sv', concat(n_nationkey, '.sv')) AS p FROM nation, (VALUES ('rtl/top.sv'), ('rtl/alu.sv'), ('sim/alu.sv'), ('sim/tb.sv')) v(p)),
 h AS (SELECT source, selected, ltrim(source, './') AS s, list(DISTINCT p) FILTER (p IS NOT NULL) AS ps FROM (SELECT a.*, i.p FROM a LEFT JOIN i ON i.p = regexp_replace(source, '^\\./', '') OR ends_with(i.p, '/' || regexp_replace(source, '^\\./', '')) OR ends_with(source, '/' || i.p)) GROUP BY ALL)
 SELECT source, selected, CASE WHEN regexp_replace(source, '^\\./', '') = selected THEN 'match' WHEN len(ps) = 1 THEN CASE WHEN ps[1] = selected THEN 'match' ELSE 'other' END WHEN ends_with(selected, '/' || source) OR string_split(source, '/')[-1] = string_split(selected, '/')[-1] THEN 'unknown' ELSE 'other' END AS relation FROM h""", view=False)
 def path_relation(x):
     rows = [tuple(v.strip("'") for v in r.strip("()").split(",")) for r in _RELATED.split("),(")]
     pair = F.explode(F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("selected")) for a, b in rows])).alias("v")
-    asked = x.spark.range(1).select(pair).select("v.*")
-    paths = x.spark.range(1).select(F.explode(F.array(*map(F.lit, ("rtl/top.sv", "rtl/alu.sv", "sim/alu.sv", "sim/tb.sv")))).alias("path"))
+    of = lambda c: F.replace(F.col(c), F.lit(".sv"), F.concat("n_nationkey", F.lit(".sv"))).alias(c.split(".")[-1])
+    asked = x.raw("nation").select("n_nationkey", pair).select(of("v.source"), of("v.selected"))
+    paths = x.raw("nation").select("n_nationkey", F.explode(F.array(*map(F.lit, ("rtl/top.sv", "rtl/alu.sv", "sim/alu.sv", "sim/tb.sv")))).alias("path")).select(of("path"))
     return workspace.path_relation(asked, paths)
 
 

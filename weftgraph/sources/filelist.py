@@ -59,7 +59,7 @@ def tokenize(files: DataFrame) -> DataFrame:
 def expand(files: DataFrame, root: str, depth: int = 64) -> DataFrame:
     """Tokens of ``root`` with nested -f and -F lists in their place; -F names are relative to the list that names them.
 
-    Returns root, place (ordinals along the way, the order), path, line, col, token. One join a level; lists nested deeper than
+    Returns root, place (ordinals along the way, the order), path, line, col, token, before (the token ahead in its own list). One join a level; lists nested deeper than
     ``depth`` are an error.
     """
     toks = materialise(tokenize(files), "tokens")
@@ -70,7 +70,7 @@ def expand(files: DataFrame, root: str, depth: int = 64) -> DataFrame:
     for _ in range(depth):
         named = level.where("list is not null").select(F.col("list").alias("path"), F.col("place").alias("up"))
         if named.isEmpty():
-            return out.select(F.lit(root).alias("root"), "place", "path", "line", "col", "token")
+            return out.select(F.lit(root).alias("root"), "place", "path", "line", "col", "token", "before")
         level = materialise(named.join(step, "path", "left").withColumn("place", F.concat("up", F.array(F.coalesce("ord", F.lit(0))))).withColumn("token", F.coalesce("token", F.raise_error(F.concat(F.lit("no filelist "), "path")).cast("string"))).select(level.columns), "tokens")
         out = out.union(level.where("list is null"))
     raise ValueError(f"filelists nest deeper than {depth}")
@@ -81,8 +81,9 @@ def _by_path():
 
 
 def arguments(expanded: DataFrame) -> DataFrame:
-    """root, place, kind (source, include_dir, define, undefine, top, option), value of every argument; +incdir+ and +define+ hold several."""
-    before = F.lag("token").over(Window.partitionBy("root").orderBy("place"))
+    """root, place, kind (source, include_dir, define, undefine, top, option), value of every argument of expanded lists; +incdir+ and
+    +define+ hold several. What a token means is told by the one before it in its own list."""
+    before = F.col("before")
     parts = F.slice(F.split("token", r"\+"), 3, 1 << 20)
     kind = (
         F.when(before.isin("--top", "--top-module", "-top"), "top").when(F.col("token").startswith("+incdir+"), "include_dir").when(F.col("token").startswith("+define+"), "define")
