@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.session import materialise, shared_dir  # noqa: F401  (re-exported for the operators)
@@ -43,6 +43,21 @@ def held_out(doc_id: Column | str) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def sampled(df: DataFrame, key: str, size: int, eligible: int) -> DataFrame:
+    """About ``size`` of ``eligible`` rows, by a 63-bit hash of ``key``; all rows if there are no more."""
+    share = min(1.0, size / max(1, eligible))
+    return df.where(F.shiftrightunsigned(F.xxhash64(key), 1) <= F.lit(min(int(share * 2.0**63), (1 << 63) - 1)))
+
+
+def sample_rows(df: DataFrame, key: str, size: int, eligible: int) -> list[Row]:
+    """Sorted rows of ``sampled``, at most twice ``size`` of them, however often a key repeats. An empty sample of more rows than
+    ``size`` is an error, so no model is learned from nothing unnoticed."""
+    rows = sampled(df, key, size, eligible).orderBy(F.shiftrightunsigned(F.xxhash64(key), 1), *df.columns).limit(2 * size).collect()
+    if not rows and eligible > size:
+        raise RuntimeError(f"{eligible} rows to learn from, but none in the sample of {size}")
+    return rows
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

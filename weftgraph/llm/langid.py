@@ -1,8 +1,8 @@
 """Language ID by a byte convolutional network.
 
 The network reads windows of 256 bytes: byte embeddings, filters 2, 3 and 4 bytes wide, max pooling, softmax. It is
-trained in numpy on the driver from a bounded sample of labelled rows (``SAMPLE_DOCS`` documents, ``SAMPLE_WINDOWS``
-windows each, from anywhere in the text); rows whose crc32(doc_id) mod 5 is 0, null languages and null texts are never
+trained in numpy on the driver from a bounded sample of labelled rows (about ``SAMPLE_DOCS`` documents, never over twice as
+many, ``SAMPLE_WINDOWS`` windows each, from anywhere in the text); rows whose crc32(doc_id) mod 5 is 0, null languages and null texts are never
 learned from. Prediction covers every byte of every text: full windows side by side, the last one ending with the text.
 A text's probabilities are the mean of its windows'.
 
@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import held_out, map_slices
+from weftgraph.llm.common import held_out, map_slices, sample_rows
 from weftgraph.llm.convtext import ConvText
 
 LENGTH = 256
@@ -71,12 +71,11 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
-    share = min(1.0, 1.25 * sample_docs / max(1, docs.count()))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    own = own.where(~F.coalesce(held_out("doc_id"), F.lit(True)) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    own = own.where(~F.coalesce(held_out("doc_id"), F.lit(True)) & F.col("lang").isNotNull())
+    eligible, own = own.count(), own.where(F.length("text") > 0)
     places = [F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - LENGTH, F.lit(1))) + 1).cast("int"), F.lit(LENGTH)) for k in range(SAMPLE_WINDOWS)]
-    rows = sorted(map(tuple, own.select("doc_id", "lang", F.array(*places)).collect()))
+    rows = sorted(map(tuple, sample_rows(own.select("doc_id", "lang", F.array(*places).alias("cuts")), "doc_id", sample_docs, eligible)))
     languages = sorted({r[1] for r in rows})
     if len(languages) < 2:
         return LanguageModel(languages, None)
