@@ -15,3 +15,12 @@ def test_formulas_and_fallbacks_are_text_and_drawings_are_not():
     assert [b[0] for b in found] == ["let x=1 be", "fallback", "a", "b", "c"]
     assert "<p" in found[-1][1]
     assert blocks("<p>a</p><textarea>b<p>c") == blocks("<p>a</p>")
+
+
+def test_many_drawings_without_an_end_are_read_in_linear_time():
+    from time import perf_counter
+
+    start = perf_counter()
+    assert [b[0] for b in blocks("<p>a</p>" + "<svg>" * 200_000 + "<p>b</p>")] == ["a", "b"]
+    assert [b[0] for b in blocks("<p>a</p><svg>no</SVG ><p>b</p><svg>c")] == ["a", "b", "c"]
+    assert perf_counter() - start < 20

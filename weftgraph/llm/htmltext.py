@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import slices
+from weftgraph.llm.common import sample_rows, slices
 
 SLOTS, DIM, HIDDEN, NUMBERS = 1 << 13, 12, 16, 6
 SAMPLE_PAGES, MADE_PAGES = 300, 500
@@ -41,7 +41,10 @@ PHRASING = {"svg", "select", "option", "optgroup", "button", "object", "canvas"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?</svg\s*>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+DRAWING = r"""<svg(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*(?<!/)>.*?</svg\s*>|"""
+DRAWING_END = re.compile(r"</svg\s*>", re.I)
+# With drawings up to their end, for what lies before the last such end, and without, for what follows it.
+MARKUP, AFTER = (re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|{drawing}<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I) for drawing in (DRAWING, ""))
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"\w+").findall
 PARTS = re.compile(r"[^\W_]+").findall
@@ -62,6 +65,15 @@ class _Memo(dict):
 _slots = _Memo()
 
 
+def _markup(page: str) -> Iterator[re.Match]:
+    """Markup and text of a page in order; no drawing is looked for where no more ends, so the time is linear."""
+    last = max((m.start() for m in DRAWING_END.finditer(page)), default=-1)
+    at = 0
+    while m := (MARKUP if at < last else AFTER).match(page, at):
+        yield m
+        at = m.end()
+
+
 def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, path features, characters inside links) of every leaf block in page order."""
     out, stack, run, links, in_link = [], [("", ())], [], 0, 0
@@ -75,7 +87,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             out.append((text, path + pairs, links))
         run, links = [], 0
 
-    for m in MARKUP.finditer(page or ""):
+    for m in _markup(page or ""):
         name = m[3]
         if name is None:
             piece = m[0]
@@ -325,10 +337,8 @@ def made_page(r: np.random.Generator) -> tuple[str, list[bool]]:
 
 
 def fit(pages: DataFrame, page_html: str = "html", page_id: str = "page_id", sample_pages: int = SAMPLE_PAGES) -> Labeller:
-    share = min(1.0, sample_pages / max(1, pages.count()))
     own = pages.select(F.col(page_id).alias("i"), F.col(page_html).alias("h")).where("h is not null")
-    own = own.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    cut = [blocks(h) for _, h in sorted(map(tuple, own.collect()), key=str)]
+    cut = [blocks(h) for _, h in sorted(map(tuple, sample_rows(own, "i", sample_pages, pages.count())), key=str)]
     samples = [(b, y) for b in cut if b and (y := semantic_labels(b)) is not None]
     r = np.random.default_rng(12)
     while len(samples) < MADE_PAGES + sample_pages:
