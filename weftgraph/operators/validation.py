@@ -127,7 +127,8 @@ def _key(columns: tuple[str, ...]) -> Column:
 def violations(tables: dict[str, DataFrame], rules: tuple = RULES, limits: dict[str, int] = LIMITS) -> DataFrame:
     """rule, snapshot_id, module_id, entity of every violation in the tables of a snapshot. Besides those of the schema:
     manifest (snapshot_id, top), files (what a module lists of the sources) and legacy_ranges (of a source's path); modules
-    may tell their entry, node_count and edge_count. Rules about tables or columns that aren't there are left out."""
+    may tell their entry, node_count and edge_count. Rules about tables or columns that aren't there are left out, and budgets
+    that ``limits`` doesn't name."""
     if "modules" in tables:
         m = tables["modules"]
         own = m.select("snapshot_id", "name")
@@ -174,7 +175,8 @@ def violations(tables: dict[str, DataFrame], rules: tuple = RULES, limits: dict[
         if not parts:
             continue
         sizes = reduce(DataFrame.union, parts).groupBy(*MODULE).agg(F.count("*").alias("n"))
-        out.append(sizes.where(F.col("n") > limits[name]).select(*MODULE, F.col("module_id").alias("entity"), F.lit(f"too many {name}").alias("rule")))
+        if name in limits:
+            out.append(sizes.where(F.col("n") > limits[name]).select(*MODULE, F.col("module_id").alias("entity"), F.lit(f"too many {name}").alias("rule")))
         if told and there("modules", (told,)):
             wrong = tables["modules"].select(*MODULE, told).join(sizes, list(MODULE), "left").where(F.coalesce("n", F.lit(0)) != F.coalesce(told, F.lit(-1)))
             out.append(wrong.select(*MODULE, F.col("module_id").alias("entity"), F.lit(f"number of {name}").alias("rule")))
