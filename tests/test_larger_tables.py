@@ -38,3 +38,10 @@ def test_no_budget_of_rows_adds_to_the_planted_faults(spark, tmp_path, monkeypat
     for what in ("nodes", "edges", "ports", "origins", "objects"):
         monkeypatch.setitem(schema.LIMITS, what, 1)
     assert differing(spark, name, tmp_path) == (0, 0, True)
+
+
+def test_a_parent_whose_children_have_no_pair_is_still_an_inner_node(spark, tmp_path):
+    """All orders of customer 7 are those that the candidate's module graph renames."""
+    order = F.col("o_orderkey")
+    written(spark, tmp_path, orders=lambda r: r.withColumn("o_custkey", F.when(order % 50 == 13, 7).when(F.col("o_custkey") == 7, 8).otherwise(F.col("o_custkey")).cast("long")))
+    assert differing(spark, "hierarchy_change_rollup", tmp_path) == (0, 0, True)
