@@ -45,3 +45,13 @@ def test_a_parent_whose_children_have_no_pair_is_still_an_inner_node(spark, tmp_
     order = F.col("o_orderkey")
     written(spark, tmp_path, orders=lambda r: r.withColumn("o_custkey", F.when(order % 50 == 13, 7).when(F.col("o_custkey") == 7, 8).otherwise(F.col("o_custkey")).cast("long")))
     assert differing(spark, "hierarchy_change_rollup", tmp_path) == (0, 0, True)
+
+
+@pytest.mark.parametrize("name", ["flattened_nodes", "expanded_edges", "expanded_groups"])
+def test_no_budget_of_objects_stops_an_expansion(spark, tmp_path, monkeypatch, name):
+    from weftgraph import schema
+
+    written(spark, tmp_path)
+    for what in ("objects", "ports"):
+        monkeypatch.setitem(schema.LIMITS, what, 1)
+    assert differing(spark, name, tmp_path) == (0, 0, True)

@@ -60,13 +60,15 @@ def _instances(c: Comparison, plan: DataFrame) -> DataFrame:
 
 
 def _within_budget(c: Comparison, inst: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """The instances, after comparing how many objects and ports each scope would have with the limits."""
+    """The instances, after comparing how many objects and ports each scope would have with the limits (none where not named)."""
+    if not limits:
+        return inst
     count = lambda df: df.groupBy("scope").agg(F.count("*").alias("n"))
     objects = count(c.nodes.select("scope").union(c.edges.select("scope")).union(c.groups.select("scope"))).withColumnRenamed("n", "objects")
     sizes = objects.join(count(c.ports).withColumnRenamed("n", "ports"), "scope", "full_outer").fillna(0)
     inner = inst.join(sizes.withColumnRenamed("scope", "child"), "child", "left").groupBy("scope").agg(F.sum(F.coalesce("objects", F.lit(0))).alias("more_objects"), F.sum(F.coalesce("ports", F.lit(0))).alias("more_ports"))
     total = inner.join(sizes, "scope")
-    for what in ("objects", "ports"):
+    for what in (w for w in ("objects", "ports") if w in limits):
         n = F.col(what) + F.col(f"more_{what}")
         total = total.withColumn("scope", _raise(n > limits[what], F.col("scope"), "comparison projection of ", F.col("scope"), " would have ", n.cast("string"), f" {what}, exceeding budget {limits[what]}"))
     return inst.join(total.select("scope"), "scope")
@@ -146,9 +148,10 @@ def expand(c: Comparison, plan: DataFrame, limits: dict[str, int] | None = None)
 
     Ids of the child's objects are scoped by the instance on their side. Edges at an instance move to the child's boundary; where the
     sides then end at different objects, the edge becomes a removed and an added one. An instance turns into a group. What was
-    matched with the help of a heuristic match becomes heuristic itself, with no larger score.
+    matched with the help of a heuristic match becomes heuristic itself, with no larger score. ``limits``: those of the schema where
+    left out; an empty dict sets none.
     """
-    limits = limits or {"objects": LIMITS["objects"], "ports": LIMITS["ports"]}
+    limits = limits if limits is not None else {"objects": LIMITS["objects"], "ports": LIMITS["ports"]}
     inst = materialise(_within_budget(c, _instances(c, plan), limits), "expansion-instances")
     touched = inst.select("scope").distinct()
     # side by side with the child's rows: the instance's overlay id and its ids on both sides

@@ -1,4 +1,7 @@
-"""Queries of expanded comparisons: the world holds regions, a region its nations, a nation its customers."""
+"""Queries of expanded comparisons: the world holds regions, a region its nations, a nation its customers.
+
+The tables may hold any number of customers, so these queries set no budgets of objects and ports.
+"""
 
 from __future__ import annotations
 
@@ -87,7 +90,7 @@ UNION ALL SELECT scope, {_IN("i", "concat('u:e', ck)")}, status, CASE WHEN rf AN
 SELECT * FROM e""", view=False)
 def expanded_edges(x):
     h = Hierarchy(x)
-    found = expansion.expand(h.comparison(), h.links.where("scope <> 'w'"))
+    found = expansion.expand(h.comparison(), h.links.where("scope <> 'w'"), limits={})
     return found.edges.where("scope like 'r:%'").select("scope", "id", "status", "method", "score", F.col("ref.source_node").alias("ref_source"), F.col("ref.target_node").alias("ref_target"))
 
 
@@ -96,7 +99,7 @@ SELECT scope, i AS id, CASE WHEN NOT there THEN 'removed' WHEN changed THEN 'mod
 UNION ALL SELECT scope, {_IN("i", "'u:g'")}, CASE WHEN there THEN 'unchanged' ELSE 'removed' END, CASE WHEN there THEN 'exact' END, CASE WHEN there THEN 1.0 END FROM n""", view=False)
 def expanded_groups(x):
     h = Hierarchy(x)
-    found = expansion.expand(h.comparison(), h.links.where("scope <> 'w'"))
+    found = expansion.expand(h.comparison(), h.links.where("scope <> 'w'"), limits={})
     return found.groups.where("scope like 'r:%'").select("scope", "id", "status", "method", "score")
 
 
@@ -105,7 +108,7 @@ UNION ALL SELECT {_IN("concat('u:i', r_regionkey)", "x")}, 'unchanged' FROM regi
 SELECT id, status FROM n""", view=False)
 def flattened_nodes(x):
     h = Hierarchy(x)
-    return expansion.flatten(h.comparison(), h.links).nodes.where("scope = 'w'").select("id", "status")
+    return expansion.flatten(h.comparison(), h.links, limits={}).nodes.where("scope = 'w'").select("id", "status")
 
 
 @query("""WITH ns AS (SELECT DISTINCT n_regionkey AS r, c_nationkey AS k, c_mktsegment AS s FROM customer JOIN nation ON n_nationkey = c_nationkey),
