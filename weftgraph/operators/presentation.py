@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,6 +75,11 @@ def _decimal(bits: pd.Series) -> pd.Series:
     return bits.map(lambda b: None if b is None else str(int(b, 2)))
 
 
+def _let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made(value)`` with the value worked out once a row, however often it is named."""
+    return F.transform(F.array(value), made)[0]
+
+
 def constant_literal(literal: Column, radix: str) -> Column:
     """A binary literal (``8'b0101``) as binary, hex or decimal; any other text, and widths out of bounds, stay as they are.
 
@@ -81,29 +88,36 @@ def constant_literal(literal: Column, radix: str) -> Column:
     """
     form = r"^\s*([0-9]+)'[bB]([01xXzZ?_]+)\s*$"
     width = F.regexp_extract(literal, form, 1).try_cast("long")
-    digits = F.translate(F.lower(F.regexp_extract(literal, form, 2)), "?_", "x")
-    held = (width >= 1) & (width <= LIMITS["constant_bits"]) & (F.length(digits) <= width)
-    size = F.when(F.coalesce(held, F.lit(False)), width.cast("int"))
-    bits = F.when(digits.isin("x", "z"), F.repeat(digits, size)).otherwise(F.lpad(digits, size, F.lit("0")))
-    alike = F.regexp_extract(bits, "^(?:(0)0*|(x)x*|(z)z*)$", 0)
-    uniform = F.when(alike != "", F.substring(alike, 1, 1))
-    text = F.concat(size.cast("string"), F.lit("'"))
-    binary = F.concat(text, F.lit("b"), F.coalesce(uniform, bits))
-    unknown = uniform.isin("x", "z")
-    if radix == "binary":
-        found = binary
-    elif radix == "decimal":
-        plain = ~bits.rlike("[xz]") & (size <= LIMITS["decimal_bits"])
-        number = _decimal(F.when(plain, bits))
-        found = F.when(unknown, F.concat(text, F.lit("d"), uniform)).when(plain, F.concat(text, F.lit("d"), number)).otherwise(binary)
-    else:
-        padded = F.lpad(bits, (F.ceil(size / 4) * 4).cast("int"), F.lit("0"))
-        nibble = lambda i: F.substring(padded, i * 4 + 1, F.lit(4))
+    read = F.struct(width.alias("width"), F.translate(F.lower(F.regexp_extract(literal, form, 2)), "?_", "x").alias("digits"))
+
+    def sized(r: Column) -> Column:
+        held = (r.width >= 1) & (r.width <= LIMITS["constant_bits"]) & (F.length(r.digits) <= r.width)
+        size = F.when(F.coalesce(held, F.lit(False)), r.width.cast("int"))
+        return F.struct(size.alias("size"), F.when(r.digits.isin("x", "z"), F.repeat(r.digits, size)).otherwise(F.lpad(r.digits, size, F.lit("0"))).alias("bits"))
+
+    def uniform(p: Column) -> Column:
+        alike = F.regexp_extract(p.bits, "^(?:(0)0*|(x)x*|(z)z*)$", 0)
+        return F.struct(p.size.alias("size"), p.bits.alias("bits"), F.when(alike != "", F.substring(alike, 1, 1)).alias("uniform"))
+
+    parts = _let(_let(read, sized), uniform)
+
+    def shown(p: Column) -> Column:
+        text = F.concat(p.size.cast("string"), F.lit("'"))
+        binary, unknown = F.concat(text, F.lit("b"), F.coalesce(p.uniform, p.bits)), p.uniform.isin("x", "z")
+        if radix == "binary":
+            return binary
+        if radix == "decimal":
+            return F.when(unknown, F.concat(text, F.lit("d"), p.uniform)).when(p.number.isNotNull(), F.concat(text, F.lit("d"), p.number)).otherwise(binary)
         digit = lambda b: F.when(b == "xxxx", "x").when(b == "zzzz", "z").when(b.rlike("^[01]{4}$"), F.lower(F.conv(b, 2, 16)))
-        each = F.transform(F.sequence(F.lit(0), F.ceil(size / 4).cast("int") - 1), lambda i: digit(nibble(i)))
-        hexed = F.array_join(each, "")
-        found = F.when(unknown, F.concat(text, F.lit("h"), uniform)).when(F.exists(each, lambda d: d.isNull()), binary).otherwise(F.concat(text, F.lit("h"), F.when(hexed.rlike("^0+$"), "0").otherwise(hexed)))
-    return F.coalesce(found, literal)
+        count = F.ceil(p.size / 4).cast("int")
+        each = _let(F.lpad(p.bits, count * 4, F.lit("0")), lambda padded: F.transform(F.sequence(F.lit(0), count - 1), lambda i: _let(F.substring(padded, i * 4 + 1, F.lit(4)), digit)))
+        joined = lambda e: F.when(F.exists(e, lambda d: d.isNull()), binary).otherwise(F.concat(text, F.lit("h"), _let(F.array_join(e, ""), lambda h: F.when(h.rlike("^0+$"), "0").otherwise(h))))
+        return F.when(unknown, F.concat(text, F.lit("h"), p.uniform)).otherwise(_let(each, joined))
+
+    if radix == "decimal":
+        plain = _let(parts, lambda p: F.when(~p.bits.rlike("[xz]") & (p.size <= LIMITS["decimal_bits"]), p.bits))
+        parts = _let(F.struct(parts.alias("p"), _decimal(plain).alias("number")), lambda x: F.struct(x.p.size.alias("size"), x.p.bits.alias("bits"), x.p.uniform.alias("uniform"), x.number.alias("number")))
+    return F.coalesce(_let(parts, shown), literal)
 
 
 def effective_settings(arguments: DataFrame, overrides: DataFrame) -> DataFrame:
