@@ -84,3 +84,33 @@ def test_a_sample_is_bounded_however_often_an_id_repeats(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(400)] * 2, "doc_id long, quality int, toxic int")
     assert toxicity.fit(docs.union(docs), labels, sample_docs=100).net is not None
     assert langid.fit(docs.union(docs), sample_docs=50).languages == ["aa", "bb"]
+
+
+def test_toxicity_learns_from_every_labelled_row_in_shards(spark, monkeypatch):
+    """More rows than the sample there once was, and several shards that share what they learn."""
+    many = spark.range(9000).selectExpr("id as doc_id", "concat('kala mato ', id) as text", "'aa' as lang", "'s' as source")
+    labels = spark.range(9000).selectExpr("id as doc_id", "1 as quality", "cast(id % 2 as int) as toxic")
+    rows = toxicity.learned_rows(many, labels, toxicity.WordLanguages([], None), None)
+    assert rows.count() == labels.where(~held_out("doc_id")).count() > 6000
+    assert rows.select("shard").distinct().count() == 1
+    monkeypatch.setattr(toxicity, "SHARD", 160)
+    monkeypatch.setattr(toxicity, "ROUNDS", 40)  # shards so small take a step or two a round
+    bad = set(range(0, 400, 5)) | set(range(1, 400, 10))
+    docs = _docs(spark, bad=bad)
+    found = {r.doc_id: (r.held_out, r.predicted) for r in toxicity.op7(docs, spark.createDataFrame([(i, 1, int(i in bad)) for i in range(400)], "doc_id long, quality int, toxic int")).collect()}
+    own = [(i in bad, p == 1) for i, (h, p) in found.items() if h]
+    assert sum(a == b for a, b in own) >= 0.9 * len(own)
+
+
+def test_languages_of_words(spark):
+    model = toxicity.word_languages(_docs(spark))
+    assert model.predict([toxicity.packed(t) for t in ("kala mato", "golst wurk", "")]) == ["aa", "bb", None]
+
+
+def test_likely_rows_hold_all_that_are_asked_for(spark):
+    from weftgraph.llm.common import likely
+
+    rows = spark.range(50_000).withColumnRenamed("id", "doc_id").withColumn("n", F.col("doc_id") % 3)
+    asked = rows.where("doc_id % 100 = 7").select("doc_id")
+    found = likely(rows, asked, "doc_id")
+    assert asked.exceptAll(found.select("doc_id")).isEmpty() and found.count() < 600 and found.columns == rows.columns
