@@ -75,3 +75,15 @@ def test_added_tokens_that_strip_go_whole_to_the_library(library):
     texts = ["a  <x> b", "c<yy>d <yy>", "<|endoftext|><x>", "e"]
     got = [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode(texts, 2)]
     assert got == [[*own.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_frequent_pieces_stay_in_the_memo_however_long_they_are(library, monkeypatch):
+    monkeypatch.setattr(tokenfile, "MEMO", 50)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = tokenfile.PieceEncoder(f.read())
+    asked, tokenize = [], encoder.pieces.tokenize
+    encoder.pieces.tokenize = lambda shown: asked.append(shown) or tokenize(shown)
+    texts = [f"extraordinarily new{i} pieceé{i}" for i in range(2000)]
+    got = [i for t in texts for i in encoder.encode([t], 2)]
+    assert asked.count("extraordinarily") == 1 and len(encoder.pieces) + len(encoder.pieces.old) <= 100
+    assert got == [np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u2").tobytes() for t in texts]

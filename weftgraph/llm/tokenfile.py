@@ -13,7 +13,7 @@ File format: a folder with three tables in Parquet, which alone suffice to read
 A block decodes without its neighbours, and every checkpoint is an entry point: the decoder runs over all checkpoints at
 once, with one table lookup per id.
 
-The tokenizers library encodes each distinct piece of the texts once per worker memo; pieces are what its own byte-level
+The tokenizers library's model encodes each distinct piece of the texts once per worker memo; pieces are what its own byte-level
 pre-tokenizer would cut, and added tokens (``<|endoftext|>``) are cut out before, as the library does, so a text's ids are
 those of encoding it whole.
 
@@ -27,6 +27,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,33 @@ STRIDE = 128
 BLOCK_IDS = 1 << 16
 LONGEST = 18
 PART_BYTES = 8 << 20
-#: Pieces kept in a worker's memo, the longest piece that stays when it is emptied, and new pieces encoded in one text.
-MEMO, SHORT, LINES = 400_000, 7, 32
+#: New pieces in a worker's memo after which those go that were not asked for meanwhile, and the longest piece that it keeps.
+MEMO, LONG = 400_000, 64
+
+
+class Pieces(dict):
+    """Packed ids by piece, made when a piece is first asked for, by the library's own model: what its byte-level pre-tokenizer
+    hands to the model is the piece with a character for each byte.
+
+    Entries are of two ages: whenever there are ``most`` young ones, these become the old ones, and old ones are young again when
+    they are asked for; so what comes often stays, however long it is.
+    """
+
+    def __init__(self, library, kind: str, most: int):
+        self.tokenize, self.kind, self.most, self.old = library.model.tokenize, kind, most, {}
+        plain = [b for b in range(256) if chr(b).isprintable() and chr(b) != " "]
+        self.shown = dict(zip(plain + [b for b in range(256) if b not in plain], [*plain, *range(256, 512)], strict=False))
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array(self.kind, [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.shown))]).tobytes()
+        if len(piece) <= LONG:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class PieceEncoder:
@@ -56,58 +82,27 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_str(model)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.kind, self.find = f"<u{self.width}", splitter()
-        self.line = re.compile(r" ?[^\s]+").fullmatch
-        (self.line_break,) = self._ids("\n")
+        self.kind, self.find = {2: "H", 4: "I"}[self.width], splitter()
         added = self.library.get_added_tokens_decoder()
         plain = {i: t for i, t in added.items() if not (t.single_word or t.lstrip or t.rstrip or t.normalized)}
         # Texts with other added tokens go to the library whole; those with plain ones are cut there, longest first.
         alternatives = lambda tokens: "|".join(re.escape(t.content) for t in sorted(tokens, key=lambda t: -len(t.content))) or "(?!)"
         self.cut, self.whole = re.compile(f"({alternatives(plain.values())})"), re.compile(alternatives(t for i, t in added.items() if i not in plain))
-        self.fixed = {t.content: np.array([i], self.kind).tobytes() for i, t in plain.items()}
-        self.memo = dict(self.fixed)
-
-    def _ids(self, text: str) -> list[int]:
-        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _pieces(self, text: str) -> list[str]:
+        self.any_whole = len(plain) < len(added)
+        self.fixed = {t.content: array(self.kind, [i]).tobytes() for i, t in plain.items()}
+        self.pieces = Pieces(self.library, self.kind, MEMO)
+
+    def _ids(self, text: str) -> bytes:
+        if self.any_whole and self.whole.search(text):
+            return array(self.kind, self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        get = self.pieces.__getitem__
         if not self.cut.search(text):
-            return self.find(text)
-        return [p for at, part in enumerate(self.cut.split(text)) for p in ([part] if at % 2 else self.find(part))]
+            return b"".join(map(get, self.find(text)))
+        return b"".join(self.fixed[part] if at % 2 else b"".join(map(get, self.find(part))) for at, part in enumerate(self.cut.split(text)))
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        if len(self.memo) > MEMO:  # frequent pieces are short
-            self.memo = {k: v for k, v in self.memo.items() if len(k) <= SHORT} | self.fixed
-        get, found, gaps = self.memo.get, [], []
-        for t in texts:
-            if t and self.whole.search(t):
-                known, missing = [np.array(self._ids(t), self.kind).tobytes()], []
-            else:
-                pieces = self._pieces(t) if t else []
-                known = list(map(get, pieces))
-                missing = [(i, pieces[i]) for i, k in enumerate(known) if k is None] if None in known else []
-            gaps.append(missing)
-            found.append(known)
-        self._learn(list(dict.fromkeys(p for g in gaps for _, p in g)))
-        memo, last = self.memo, np.array([end], self.kind).tobytes()
-        for known, g in zip(found, gaps, strict=True):
-            for i, p in g:
-                known[i] = memo[p]
-            known.append(last)
-        return [b"".join(known) for known in found]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces. Those without inner white space go many to a text, one a line: a line break is always a
-        piece of its own, so its id separates their ids."""
-        lines, w = [p for p in pieces if self.line(p)], self.width
-        for at in range(0, len(lines), LINES):
-            own = lines[at : at + LINES]
-            ids = np.array(self._ids("\n".join(own)), self.kind)
-            cuts, raw = [-1, *np.flatnonzero(ids == self.line_break).tolist(), len(ids)], ids.tobytes()
-            self.memo.update(zip(own, [raw[(a + 1) * w : b * w] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-        for p in pieces:
-            if not self.line(p):
-                self.memo[p] = np.array(self._ids(p), self.kind).tobytes()
+        last = array(self.kind, [end]).tobytes()
+        return [(self._ids(t) if t else b"") + last for t in texts]
 
 
 _encoders: dict[int, PieceEncoder] = {}
