@@ -58,11 +58,25 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     for at in range(0, n, CHUNK):
         m = min(CHUNK, n - at)
         spans = zip(starts[at : at + m].tolist(), ends[at + k - 1 : at + k - 1 + m].tolist(), strict=True)
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, m)
-        ones += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += set_bits(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, m))
+    return majority(ones, n)
+
+
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of some hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes by their set bits."""
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes that are worked out already."""
+    return majority(sum((set_bits(hashes[at : at + CHUNK]) for at in range(0, len(hashes), CHUNK)), np.zeros(BITS, np.int64)), len(hashes))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long), one row per input row."""
 
