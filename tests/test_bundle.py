@@ -113,3 +113,19 @@ def test_an_entry_with_another_digest_raises(reader, tmp_path):
     path.write_bytes(data[: at + 12] + b"?" + data[at + 13 :])
     with pytest.raises(Exception, match="BundleError|CRC"):
         reader(str(path), "nodes").collect()
+
+
+def test_entries_come_in_parts_and_rows_one_at_a_time(spark, tmp_path, monkeypatch):
+    edges = [dict(id=f"e{i}", source_node="a", target_node="b") for i in range(6)]
+    parts = [bundle.encode("GraphSlice", p) for p in (dict(snapshot_id="s", module=dict(id="m1", name="top")), dict(edges=edges[:4]), dict(edges=edges[4:]))]
+    rows = [("s", "top", "design/modules/m1.pb", i, p) for i, p in enumerate(parts)] + [("s", "top", e, 0, b"") for e in ("design/index.pb", "sources/index.pb", "diagnostics.pb")]
+    entries = spark.createDataFrame(rows[::-1], "snapshot_id string, top string, entry string, place long, payload binary")
+    (found,) = bundle.write_bundles(entries, f"file://{tmp_path}/out").collect()
+    spark.dataSource.register(bundle.BundleSource)
+    got = spark.read.format("design_bundle").option("table", "edges").load(found.path).orderBy("ord").collect()
+    assert [(r.edge_id, r.ord) for r in got] == [(f"e{i}", i) for i in range(6)]
+    data, seen, decode = b"".join(parts), [], bundle.decode
+    with pytest.raises(BundleError, match="too many edges"):
+        list(bundle.entry_rows("edges", "s", "e", data, {"edges": 5}))
+    monkeypatch.setattr(bundle, "decode", lambda m, *a, **k: seen.append(m) or decode(m, *a, **k))
+    assert next(bundle.entry_rows("edges", "s", "e", data, {}))[2] == "e0" and seen.count("GraphEdge") == 1

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.plans.registry import query
-from weftgraph.session import shared_dir
+from weftgraph.session import materialise, shared_dir
 from weftgraph.sources import bundle
 
 
@@ -17,6 +17,14 @@ def _record(message: str, **given) -> Column:
     return F.struct(*(c.alias(f.name) for f in bundle.FIELDS[message].values() if (c := given.get(f.name)) is not None))
 
 
+#: Keys of customers and orders whose records are encoded at once, within a module.
+NODE_KEYS, EDGE_KEYS = 1 << 16, 1 << 16
+
+
+def _entries(modules: DataFrame) -> DataFrame:
+    return modules.withColumn("entry", F.concat(F.lit("design/modules/"), F.sha2("module", 256), F.lit(".pb")))
+
+
 def _bundles(x) -> DataFrame:
     c, one = F.col("c_custkey"), [F.concat(F.lit("n"), "c_nationkey").alias("snapshot_id"), F.col("c_mktsegment").alias("module")]
     name = F.concat(F.lit("c"), c)
@@ -25,27 +33,33 @@ def _bundles(x) -> DataFrame:
     node = _record("GraphNode", id=name, kind=c % 13, label=F.when(c % 3 == 0, F.concat(F.lit("ñ"), "c_name")).otherwise(F.lit("")), definition_name=F.when(c % 4 == 0, F.lit("leaf")), parameters=F.when(c % 5 != 0, F.array(entry)), ports=F.array(_record("GraphPort", id=F.lit("p"), name=F.lit("P"), direction=c % 4, width=F.when(c % 6 != 0, c * 1000))), origins=F.when(c % 8 == 0, F.array(place)))
     customers = x.raw("customer")
     edge = _record("GraphEdge", id=F.col("o_orderkey").cast("string"), source_node=F.concat(F.lit("c"), "o_custkey"), source_port=F.lit("p"), target_node=F.concat(F.lit("c"), "o_custkey"), label=F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")), width=F.col("o_orderkey") % 3)
-    sorted_list = lambda key, v: F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), v.alias("v")))), lambda r: r["v"])
-    nodes = customers.groupBy(*one).agg(sorted_list(c, node).alias("nodes"))
-    edges = x.raw("orders").join(customers.withColumn("o_custkey", c), "o_custkey").groupBy(*one).agg(sorted_list(F.col("o_orderkey"), edge).alias("edges"))
-    whole = nodes.join(edges, ["snapshot_id", "module"], "left")
-    slices = whole.select("snapshot_id", F.concat(F.lit("design/modules/"), F.sha2("module", 256), F.lit(".pb")).alias("entry"), "module", _record("GraphSlice", snapshot_id=F.col("snapshot_id"), module=_record("GraphModule", id=F.col("module"), name=F.col("module")), nodes=F.col("nodes"), edges=F.col("edges")).alias("record"))
-    count = lambda column: F.when(F.col(column).isNull(), 0).otherwise(F.size(column))
-    summary = _record("ModuleSummary", id=F.col("module"), name=F.col("module"), node_count=count("record.nodes"), edge_count=count("record.edges"), entry=F.col("entry"))
+    # A list comes in parts of some keys, however many a module has: places 0 for the module itself, then nodes, then edges.
+    def parts(rows: DataFrame, key: Column, field: str, record: Column, most: int, after: int) -> DataFrame:
+        of = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), record.alias("v")))), lambda r: r["v"])
+        part = rows.groupBy(*one, F.floor(key / most).cast("long").alias("part")).agg(of.alias("list"))
+        return part.select("snapshot_id", "module", (F.col("part") + after).alias("place"), _record("GraphSlice", **{field: F.col("list")}).alias("record"))
+
+    owners = customers.select("c_custkey", "c_nationkey", "c_mktsegment")
+    nodes = materialise(bundle.encoded(_entries(parts(customers, c, "nodes", node, NODE_KEYS, 1)), "GraphSlice"), "bundle-nodes")
+    edges = materialise(bundle.encoded(_entries(parts(x.raw("orders").join(owners.withColumn("o_custkey", c), "o_custkey"), F.col("o_orderkey"), "edges", edge, EDGE_KEYS, 1 << 61)), "GraphSlice"), "bundle-edges")
+    counted = owners.groupBy(*one).agg(F.count("*").alias("nodes")).join(x.raw("orders").select("o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n")).join(owners, F.col("o_custkey") == c).groupBy(*one).agg(F.sum("n").alias("edges")), ["snapshot_id", "module"], "left")
+    slices = materialise(_entries(counted.withColumn("place", F.lit(0).cast("long"))), "bundle-modules")
+    own = slices.select("*", _record("GraphSlice", snapshot_id=F.col("snapshot_id"), module=_record("GraphModule", id=F.col("module"), name=F.col("module"))).alias("record"))
+    summary = _record("ModuleSummary", id=F.col("module"), name=F.col("module"), node_count=F.col("nodes"), edge_count=F.coalesce("edges", F.lit(0)), entry=F.col("entry"))
     top = F.min("module")
     index = slices.groupBy("snapshot_id").agg(top.alias("top"), _record("DesignIndex", schema_major=F.lit(1), schema_minor=F.lit(1), snapshot_id=F.col("snapshot_id"), top=top, modules=F.array_sort(F.collect_list(summary))).alias("record"))
-    index = index.withColumn("entry", F.lit("design/index.pb"))
-    empty = lambda entry: index.select("snapshot_id", F.lit(entry).alias("entry"), F.lit(b"").cast("binary").alias("payload"))
-    payloads = bundle.encoded(slices, "GraphSlice").union(bundle.encoded(index, "DesignIndex")).union(empty("sources/index.pb")).union(empty("diagnostics.pb"))
+    index = index.withColumns({"entry": F.lit("design/index.pb"), "place": F.lit(0).cast("long")})
+    empty = lambda entry: index.select("snapshot_id", F.lit(entry).alias("entry"), "place", F.lit(b"").cast("binary").alias("payload"))
+    payloads = bundle.encoded(own, "GraphSlice").union(nodes).union(edges).union(bundle.encoded(index, "DesignIndex")).union(empty("sources/index.pb")).union(empty("diagnostics.pb"))
     folder = x.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(x.spark)}/bundles-{uuid.uuid4().hex}")
     uri = folder.getFileSystem(x.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toUri().toString()
-    return bundle.write_bundles(payloads.join(index.select("snapshot_id", "top"), "snapshot_id"), uri)
+    return bundle.write_bundles(payloads.join(F.broadcast(index.select("snapshot_id", "top")), "snapshot_id"), uri)  # a row a nation
 
 
 def _read(x, table: str) -> DataFrame:
     x.spark.dataSource.register(bundle.BundleSource)
     paths = ",".join(sorted(r.path for r in _bundles(x).select("path").collect()))  # one a nation
-    return x.spark.read.format("design_bundle").option("table", table).load(paths)
+    return x.spark.read.format("design_bundle").option("table", table).option("limits", "none").load(paths)
 
 
 @query("""SELECT concat('n', c_nationkey) AS snapshot_id, c_mktsegment AS module_id, concat('c', c_custkey) AS node_id, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) - 1 AS ord,
